@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import consensus_queries, pair_queries, stuffing_queries, token_queries
+from quire.llm import consensus_queries, neighbour_queries, pair_queries, stuffing_queries, token_queries
 
-MODULES = [pair_queries, consensus_queries, token_queries, stuffing_queries]
+MODULES = [pair_queries, consensus_queries, neighbour_queries, token_queries, stuffing_queries]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
