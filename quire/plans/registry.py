@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import orphan_queries
+from quire.plans import orphan_queries, relational_queries
 
-MODULES = [orphan_queries]
+MODULES = [orphan_queries, relational_queries]
 
 
 def queries() -> dict:
