@@ -6,7 +6,7 @@ same pairs, a good one gives fewer candidates. The ordered sets form a prefix tr
 branches that a similar record must share are stored: two sets of the wanted similarity share an
 n-gram within short prefixes. A branch, an n-gram with the records that have it in their prefix, is
 visited once for all of its records; pairs are pruned by length, by what remains of both sets behind
-the place they share, and by a lower bound of their difference from 256-bit parity signatures. All
+the place they share, and by a lower bound of their difference from 512-bit parity signatures. All
 three bounds are exact. What is left is verified on the whole sets.
 
 Equal sets are one class from the start and are never compared with each other.
@@ -140,7 +140,10 @@ def _branch_pairs(cls, n, bits, row, gram, place, t: float) -> tuple[np.ndarray,
         differ = np.zeros(len(a), dtype=np.int64)
         for w in range(bits.shape[1]):
             differ += np.bitwise_count(bits[a, w] ^ bits[b, w])
-        ok = (differ <= room) & (cls[a] != cls[b])
+            if w % 2:  # most pairs are out after a part of the signature
+                ok = differ <= room
+                a, b, room, differ = a[ok], b[ok], room[ok], differ[ok]
+        ok = cls[a] != cls[b]
         if ok.any():
             got_a.append(a[ok])
             got_b.append(b[ok])
@@ -216,7 +219,7 @@ def classes_and_links(
                 order = np.lexsort((h, m, doc))
                 h, m = h[order], m[order]
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                odd = np.bincount(doc * 256 + (h & np.uint64(255)).astype(np.int64), minlength=256 * len(sets)).reshape(-1, 256) & 1
+                odd = np.bincount(doc * 512 + (h & np.uint64(511)).astype(np.int64), minlength=512 * len(sets)).reshape(-1, 512) & 1
                 bits = [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
                 long_, _ = _prefixes(n, t)
                 keep = (place < long_[doc]) & (m > 1)  # an n-gram counted once is nobody else's
@@ -243,7 +246,7 @@ def classes_and_links(
 
     def visit(table: pa.Table) -> pa.Table:
         cls, n = np.asarray(table.column("cls")), np.asarray(table.column("n"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, 4)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, 8)
         grams = table.column("grams").to_pylist()
         row = np.repeat(np.arange(len(cls)), [len(g) // 8 for g in grams])
         entry = np.frombuffer(b"".join(grams), dtype=[("gram", "<u4"), ("place", "<u4")])
