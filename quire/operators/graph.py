@@ -37,3 +37,157 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     return nodes.join(now.groupBy("u").agg(F.min("v").alias("m")), F.col("id") == F.col("u"), "left").select(
         "id", F.coalesce("m", "id").alias("component")
     )
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Distinct (a, b) with a < b; loops and null ends are dropped."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
+def shared_hub_pairs(membership: DataFrame, hub: str, item: str, least: int = 1, largest_hub: int | None = None) -> DataFrame:
+    """(a, b, n): items that share at least ``least`` hubs, a < b. Hubs of more than ``largest_hub``
+    items are skipped where that is given; items in fewer than ``least`` hubs are dropped first."""
+    m = membership.select(F.col(hub).alias("h"), F.col(item).alias("i")).where("h is not null and i is not null").distinct()
+    if least > 1:
+        m = m.join(m.groupBy("i").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("i"), "i", "left_semi")
+    if largest_hub is not None:
+        m = m.join(m.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= largest_hub).select("h"), "h", "left_semi")
+    pairs = m.alias("x").join(m.alias("y"), "h").where("x.i < y.i")
+    return pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def similar_sets(membership: DataFrame, owner: str, element: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of owners whose element sets have at least ``least`` of their union in common,
+    joined on elements rather than on owners."""
+    m = membership.select(F.col(owner).alias("o"), F.col(element).alias("e")).where("o is not null and e is not null").distinct()
+    size = m.groupBy("o").agg(F.count(F.lit(1)).alias("s"))
+    n = shared_hub_pairs(m, "e", "o")
+    return (
+        n.join(size.select(F.col("o").alias("a"), F.col("s").alias("sa")), "a")
+        .join(size.select(F.col("o").alias("b"), F.col("s").alias("sb")), "b")
+        .select("a", "b", (F.col("n") / (F.col("sa") + F.col("sb") - F.col("n"))).alias("jaccard"))
+        .where(F.col("jaccard") >= least)
+    )
+
+
+def degrees(pairs: DataFrame, weight: str = "n") -> DataFrame:
+    """(id, degree, weighted, centrality) of an undirected edge table (a, b, weight)."""
+    both = pairs.select(F.col("a").alias("id"), F.col(weight).alias("w")).union(pairs.select("b", weight))
+    d = both.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("weighted"))
+    many = d.agg((F.count(F.lit(1)) - 1).alias("_m"))
+    return d.crossJoin(F.broadcast(many)).withColumn("centrality", F.try_divide(F.col("degree"), F.col("_m"))).drop("_m")  # one row
+
+
+def labelled(edges: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """Edges whose both ends have a label, with src_label and dst_label."""
+    side = lambda x: labels.select(F.col(node).alias(x), F.col(label).alias(f"{x}_label")).where(F.col(f"{x}_label").isNotNull())
+    return edges.join(side("src"), "src").join(side("dst"), "dst")
+
+
+def insularity(edges: DataFrame) -> DataFrame:
+    """(label, n_out, n_internal, percent_internal) of labelled edges; per label of the source."""
+    same = F.col("src_label") == F.col("dst_label")
+    return edges.groupBy(F.col("src_label").alias("label")).agg(F.count(F.lit(1)).alias("n_out"), F.count_if(same).alias("n_internal")).withColumn(
+        "percent_internal", 100 * F.try_divide(F.col("n_internal"), F.col("n_out"))
+    )
+
+
+def modularity(edges: DataFrame, least_nodes: int = 10) -> DataFrame:
+    """One row with ``q``: the partition's modularity on the simple undirected graph of labelled
+    edges; null with fewer than ``least_nodes`` nodes."""
+    e = edges.where("src <> dst").select(
+        F.when(F.col("src") < F.col("dst"), F.struct(F.col("src").alias("a"), F.col("src_label").alias("la"), F.col("dst").alias("b"), F.col("dst_label").alias("lb")))
+        .otherwise(F.struct(F.col("dst").alias("a"), F.col("dst_label").alias("la"), F.col("src").alias("b"), F.col("src_label").alias("lb"))).alias("x")
+    ).select("x.*").distinct()
+    ends = e.select(F.col("a").alias("id"), F.col("la").alias("label")).union(e.select("b", "lb"))
+    nodes = ends.agg(F.countDistinct("id").alias("nodes"), (F.count(F.lit(1)) / 2).alias("m"))
+    degree = ends.groupBy("label").agg(F.count(F.lit(1)).alias("d"))
+    inside = e.where("la = lb").groupBy(F.col("la").alias("label")).agg(F.count(F.lit(1)).alias("l"))
+    part = F.coalesce("l", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)
+    return degree.join(inside, "label", "left").crossJoin(F.broadcast(nodes)).agg(  # one row
+        F.when(F.max("nodes") >= least_nodes, F.sum(part)).alias("q"), F.max("nodes").alias("n_nodes"), F.max("m").cast("bigint").alias("n_edges")
+    )
+
+
+def participation(edges: DataFrame) -> DataFrame:
+    """(id, participation): 1 less the squared shares of the labels among a node's targets."""
+    n = edges.groupBy(F.col("src").alias("id"), "dst_label").agg(F.count(F.lit(1)).alias("k"))
+    return n.groupBy("id").agg((1 - F.sum(F.col("k") * F.col("k")) / F.pow(F.sum("k"), 2)).alias("participation"))
+
+
+def closure(merges: DataFrame, most_steps: int = 32) -> DataFrame:
+    """(id, root) of a merge map (src, dst), one target per source: pointer jumping to the last
+    target. Members of a cycle, and what leads into one, are dropped."""
+    now = cut(merges.where("src <> dst").groupBy("src").agg(F.min("dst").alias("dst")))
+    for _ in range(most_steps):
+        step = now.alias("x").join(now.select(F.col("src").alias("k"), F.col("dst").alias("next")), F.col("x.dst") == F.col("k"), "left")
+        jumped = cut(step.select("src", F.coalesce("next", "dst").alias("dst"), F.col("k").isNotNull().alias("moved")))
+        now = jumped.select("src", "dst")
+        if jumped.where("moved and src <> dst").isEmpty():
+            break
+    ends = now.where("src <> dst")
+    return ends.join(now.select(F.col("src").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id"), F.col("dst").alias("root"))
+
+
+def redirect(edges: DataFrame, roots: DataFrame, kind: list[str], sums: list[str]) -> DataFrame:
+    """Edges with merged ends put in place of their sources: loops dropped, equal edges folded by sum."""
+    r = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root"))
+    e = edges.join(r("src"), "src", "left").join(r("dst"), "dst", "left")
+    e = e.select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"), *kind, *sums).where("src <> dst")
+    return e.groupBy("src", "dst", *kind).agg(*(F.sum(s).alias(s) for s in sums))
+
+
+def ancestors(is_a: DataFrame, most_depth: int = 5) -> DataFrame:
+    """(id, ancestor, depth): everything reached upwards, at its least depth; cycles are safe."""
+    step = is_a.select(F.col("src").alias("id"), F.col("dst").alias("ancestor")).where("id <> ancestor").distinct()
+    known = front = cut(step.withColumn("depth", F.lit(1)))
+    for depth in range(2, most_depth + 1):
+        up = front.join(step.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor")
+        front = cut(up.select("id", F.col("next").alias("ancestor")).where("id <> ancestor").distinct().join(known, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        known = cut(known.unionByName(front))
+    return known
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, steps: int = 20, weight: str | None = None) -> DataFrame:
+    """(id, rank), summing to 1; nodes without out-edges give to all. A fixed number of steps."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = edges.groupBy("src", "dst").agg(F.sum(w).alias("w"))
+    e = cut(e.join(e.groupBy("src").agg(F.sum("w").alias("t")), "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")))
+    nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("rank", F.lit(0.0))
+    rank = nodes.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(steps):
+        got = e.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("g"))
+        raw = cut(nodes.join(got, "id", "left").select("id", F.coalesce("g", F.lit(0.0)).alias("g")))
+        lost = 1.0 - raw.agg(F.sum("g")).first()[0]
+        rank = raw.select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.col("g")).alias("rank"))
+    return rank
+
+
+def eigenvector_centrality(pairs: DataFrame, weight: str = "n", steps: int = 20) -> DataFrame:
+    """(id, centrality), of unit length, by power iteration on the undirected graph plus its identity."""
+    both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col(weight).alias("w")).union(pairs.select("b", "a", weight)))
+    v = both.select(F.col("src").alias("id")).distinct().withColumn("v", F.lit(1.0))
+    for _ in range(steps):
+        got = both.join(v, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("v") * F.col("w")).alias("g"))
+        raw = cut(v.join(got, "id", "left").select("id", (F.col("v") + F.coalesce("g", F.lit(0.0))).alias("v")))
+        norm = raw.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 1.0
+        v = raw.select("id", (F.col("v") / norm).alias("v"))
+    return v.withColumnRenamed("v", "centrality")
+
+
+def label_communities(pairs: DataFrame, steps: int = 8, weight: str = "n") -> DataFrame:
+    """(id, community) by label propagation: each step every node takes the label of the greatest
+    weight among its neighbours and itself, the smallest of equal ones. Deterministic."""
+    both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col(weight).alias("w")).union(pairs.select("b", "a", weight)))
+    now = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    for _ in range(steps):
+        votes = both.join(now, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "community", "w")
+        votes = votes.unionByName(now.withColumn("w", F.lit(1)))
+        total = votes.groupBy("id", "community").agg(F.sum("w").alias("w"))
+        now = cut(total.groupBy("id").agg(F.min(F.struct(-F.col("w"), F.col("community")))["community"].alias("community")))
+    return now
