@@ -38,32 +38,28 @@ _WORD = re.compile(r"[^\W_]+")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+class _Hashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """Sets of n-gram hashes of texts; hashes of words are remembered."""
+    """Sets of n-gram hashes of word lists; hashes of words are remembered."""
 
     def __init__(self, size: int):
         self.size = size
-        self.known: dict[str, int] = {}
-
-    def words(self, text: str) -> list[int]:
-        found, known = [], self.known
-        for w in _WORD.findall(text):
-            h = known.get(w)
-            if h is None:
-                if len(known) > 500_000:
-                    known.clear()
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            found.append(h)
-        return found
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        self.known = _Hashes()
+
+    def sets(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The sorted distinct hashes of each text's runs of ``size`` words."""
-        flat: list[int] = []
-        ends = []
-        for t in texts:
-            flat += self.words(t)
-            ends.append(len(flat))
-        h = np.array(flat, dtype=np.uint64)
+        known = self.known
+        h = np.array([known[w] for t in texts for w in t], dtype=np.uint64)
+        ends = np.cumsum([len(t) for t in texts])
         n = max(0, len(h) - self.size + 1)
         mixed = np.zeros(n, dtype=np.uint64)
         for k in range(self.size):
@@ -91,10 +87,10 @@ def _prepared(batch: pa.RecordBatch, shingler: Shingler, least_words: int):
         b = body[i]
         if key[i] is None or not b:
             continue
-        low = b.lower()
-        if len(_WORD.findall(low)) >= least_words:
+        words = _WORD.findall(b.lower())
+        if len(words) >= least_words:
             rows.append(i)
-            texts.append(f"{(head[i] or '').lower()} {low}")
+            texts.append(_WORD.findall(head[i].lower()) + words if head[i] else words)
     sets = shingler.sets(texts)
     keep = [k for k in range(len(sets)) if len(sets[k])]
     return [rows[k] for k in keep], [sets[k] for k in keep], [_class_of(sets[k]) for k in keep]
@@ -171,19 +167,23 @@ def classes_and_links(
     source = df.select(key, head, body).where(F.col(key).isNotNull() & F.col(body).isNotNull())
 
     def count(batches):
-        shingler, sketch = Shingler(size), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        shingler, sketch, waiting = Shingler(size), np.zeros(1 << SKETCH_BITS, dtype=np.int64), []
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 rows, sets, classes = _prepared(part, shingler, least_words)
                 if not rows:
                     continue
-                h = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-                sketch += np.bincount(h.astype(np.int64), minlength=len(sketch))
+                waiting.append((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                if len(waiting) >= 50:
+                    sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
+                    waiting.clear()
                 none = pa.nulls(len(rows), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(rows)), pa.array(classes, pa.int64()), none, none], ["key", "cls", "bucket", "m"]
                 )
+        if waiting:
+            sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
         at = np.nonzero(sketch)[0]
         for lo in range(0, len(at), 100_000):
             k = at[lo : lo + 100_000]
