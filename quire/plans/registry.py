@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import graph_queries, orphan_queries, relational_queries, text_queries
+from quire.plans import graph_queries, orphan_queries, relational_queries, text_queries, vocabulary_queries
 
-MODULES = [orphan_queries, relational_queries, text_queries, graph_queries]
+MODULES = [orphan_queries, relational_queries, text_queries, graph_queries, vocabulary_queries]
 
 
 def queries() -> dict:
