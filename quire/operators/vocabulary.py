@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quire.operators.relational import top_per_group
 
 
-def term_counts(df: DataFrame, cluster: str, terms: str) -> DataFrame:
-    """(cluster, term, n, n_docs) of documents with an array of terms."""
-    one = df.select(F.col(cluster).alias("cluster"), F.monotonically_increasing_id().alias("d"), F.explode(terms).alias("term")).where("cluster is not null")
+def term_counts(df: DataFrame, doc: str, cluster: str, terms: str) -> DataFrame:
+    """(cluster, term, n, n_docs) of documents with an array of terms; null clusters are left out."""
+    one = df.select(F.col(cluster).alias("cluster"), F.col(doc).alias("d"), F.explode(terms).alias("term")).where("cluster is not null")
     by_doc = one.groupBy("cluster", "term", "d").agg(F.count(F.lit(1)).alias("k"))
     return by_doc.groupBy("cluster", "term").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 

@@ -17,8 +17,8 @@ N_TOP = 12
 
 
 def _counts(spark, folder):
-    w = works(spark, folder).select("cluster", X.words(F.concat_ws(" ", "title", "abstract"), 3, STOP).alias("terms"))
-    return V.term_counts(w, "cluster", "terms")
+    w = works(spark, folder).select("work", "cluster", X.words(F.concat_ws(" ", "title", "abstract"), 3, STOP).alias("terms"))
+    return V.term_counts(w, "work", "cluster", "terms")
 
 
 def _tops(spark, folder):
