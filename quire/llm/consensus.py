@@ -44,7 +44,7 @@ def reliabilities(answers: DataFrame, most_steps: int = 25, tolerance: float = 1
     by overlap, agree with the truth on the whole. No answers give no rows.
     """
     who = ["task", "annotator"]
-    x = answers.where(F.col("item").isNotNull() & F.col("annotator").isNotNull() & F.col("value").isNotNull())
+    x = answers.select("task", "item", "annotator", "value").where(F.col("item").isNotNull() & F.col("annotator").isNotNull() & F.col("value").isNotNull())
     sizes = x.groupBy("task", "item").agg((F.count(F.lit(1)) - 1).alias("others"))
     stats = cut(
         x.join(sizes, ["task", "item"])
@@ -111,8 +111,8 @@ def consensus(answers: DataFrame, judges: DataFrame, least_information: float =
     )
     z = F.when(F.col("sd") > 1e-9, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     return (
-        answers.where(F.col("item").isNotNull() & F.col("value").isNotNull())
-        .join(judges, ["task", "annotator"])
+        answers.select("task", "item", "annotator", "value").where(F.col("item").isNotNull() & F.col("value").isNotNull())
+        .join(judges.select("task", "annotator", "mean", "sd", "reliability"), ["task", "annotator"])
         .select("task", "item", "value", weight, r.alias("r"), z.alias("z"))
         .groupBy("task", "item")
         .agg(
