@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -40,12 +41,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _remove_at_exit(spark: SparkSession, at: str) -> None:
+    """Deletes the table when the driver's Python ends; a driver that is killed leaves it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    conf = spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM is gone already
+            pass
+
+    atexit.register(remove)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs nothing.
 
-    A Parquet table rather than an RDD checkpoint: columns stay pruned and compressed.
+    A Parquet table rather than an RDD checkpoint: columns stay pruned and compressed. It is deleted
+    when the driver ends.
     """
     spark = df.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _remove_at_exit(spark, at)
     return spark.read.schema(df.schema).parquet(at)
