@@ -22,7 +22,7 @@ PER_CENTRE, MOST_CENTRES = 150, 8192
 SPILL = 3
 #: The most members of one graph (30 MB at 384 numbers).
 MOST_MEMBERS = 20_000
-DEGREE, BEAM = 16, 32
+DEGREE, BEAM = 16, 48
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
