@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, place: str = "place") -> DataFrame:
     """The first ``n`` rows of each group in an order that must be total; Spark limits each group
     before the shuffle, so a hot group sends few rows."""
-    return df.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(place) <= n)
+    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(place) <= n)
+    return ranked.withColumn(place, F.col(place).cast("bigint"))
 
 
 def share_of_group(df: DataFrame, value: str, group: list[str], name: str = "share") -> DataFrame:
