@@ -47,25 +47,27 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _search(x: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _search(x: np.ndarray, stored: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of ``x`` its ``k`` nearest others among the stored rows, as row numbers."""
     at = np.nonzero(stored)[0]
     ids, sims = np.full((len(x), k), -1), np.full((len(x), k), -np.inf)
     if not len(at):
         return ids, sims
-    graph = build(x[at], DEGREE, BEAM)
-    got, s = neighbours(x[at], graph, k, BEAM)
+    graph = build(x[at], DEGREE, beam)
+    got, s = neighbours(x[at], graph, k, beam)
     ids[at], sims[at] = np.where(got >= 0, at[got], -1), s
     guests = np.nonzero(~stored)[0]
     for lo in range(0, len(guests), 256):
         g = guests[lo : lo + 256]
-        got, s = beam_search(x[at], graph, x[g], np.zeros(len(g), dtype=int), 2 * BEAM)
+        got, s = beam_search(x[at], graph, x[g], np.zeros(len(g), dtype=int), 2 * beam)
         got, s = got[:, :k], s[:, :k]
         ids[g, : got.shape[1]], sims[g, : got.shape[1]] = np.where(got >= 0, at[got], -1), s
     return ids, sims
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 384, least: float = -1.0) -> DataFrame:
+def similar_vectors(
+    df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 384, least: float = -1.0, spill: int = SPILL, beam: int = BEAM
+) -> DataFrame:
     """(key_a, key_b, similarity, place): for each key the at most ``k`` keys of highest cosine
     similarity, of at least ``least``, among all others; ties by the smaller key.
 
@@ -77,7 +79,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dims: int
     n_centres = max(1, min(MOST_CENTRES, -(-n // PER_CENTRE)))
     some = usable.orderBy(F.xxhash64("key"), "key").limit(n_centres).select("v").toArrow().column(0).combine_chunks()
     shared = df.sparkSession.sparkContext.broadcast(_matrix(some, dims) if len(some) else np.zeros((1, dims), np.float32))
-    spill = min(SPILL, n_centres)
+    spill = min(spill, n_centres)
 
     def cells(x: np.ndarray) -> np.ndarray:
         c = shared.value
@@ -130,7 +132,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dims: int
         import pandas as pd
 
         x = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float32).reshape(-1, dims)
-        ids, _ = _search(x, pdf["stays"].to_numpy(), k + 1)
+        ids, _ = _search(x, pdf["stays"].to_numpy(), k + 1, beam)
         row, place = np.nonzero(ids >= 0)
         other = ids[row, place]
         exact = np.empty(len(row))
@@ -142,7 +144,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, dims: int
         return pd.DataFrame({"key_a": names[row[keep]], "key_b": names[other[keep]], "similarity": exact[keep]})
 
     found = routed.groupBy("shard").applyInPandas(search, f"key_a {kind}, key_b {kind}, similarity double")
-    best = Window.partitionBy("key_a").orderBy(F.desc("similarity"), "key_b")  # at most SPILL * (k + 1) rows unless a shard is split
+    best = Window.partitionBy("key_a").orderBy(F.desc("similarity"), "key_b")  # at most spill * (k + 1) rows unless a shard is split
     return (
         found.groupBy("key_a", "key_b")
         .agg(F.max("similarity").alias("similarity"))
