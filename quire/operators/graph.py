@@ -56,18 +56,45 @@ def shared_hub_pairs(membership: DataFrame, hub: str, item: str, least: int = 1,
     return pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def similar_sets(membership: DataFrame, owner: str, element: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of owners whose element sets have at least ``least`` of their union in common,
-    joined on elements rather than on owners."""
+def overlapping_sets(membership: DataFrame, owner: str, element: str, least_shared, enough, block: int = 2000) -> DataFrame:
+    """(a, b, n, sa, sb): owners a < b that share ``n`` elements of their ``sa`` and ``sb``, where ``enough(n, sa, sb)``.
+
+    ``least_shared(s)`` is the smallest ``n`` that a set of ``s`` elements can be enough with, and ``enough`` must
+    stay true as ``n`` grows. Equal sets are one class. Classes meet on the elements of their prefixes, rarest first,
+    and only on the first element they share, so each pair is made once and nothing is counted by a shuffle; what
+    follows in both sets, and the common bits of their signatures with each set's elements that share a bit, bound
+    ``n`` before the sets are compared. Elements of many classes are met in blocks.
+    """
     m = membership.select(F.col(owner).alias("o"), F.col(element).alias("e")).where("o is not null and e is not null").distinct()
-    size = m.groupBy("o").agg(F.count(F.lit(1)).alias("s"))
-    n = shared_hub_pairs(m, "e", "o")
-    return (
-        n.join(size.select(F.col("o").alias("a"), F.col("s").alias("sa")), "a")
-        .join(size.select(F.col("o").alias("b"), F.col("s").alias("sb")), "b")
-        .select("a", "b", (F.col("n") / (F.col("sa") + F.col("sb") - F.col("n"))).alias("jaccard"))
-        .where(F.col("jaccard") >= least)
-    )
+    rank = cut(m.groupBy("e").agg(F.count(F.lit(1)).alias("m")).orderBy("m", "e").select("e", F.monotonically_increasing_id().alias("r")))
+    sets = cut(m.join(rank, "e").groupBy("o").agg(F.array_sort(F.collect_list("r")).alias("e")).where(F.size("e") >= least_shared(F.size("e"))))
+    bits = F.expr("aggregate(e, 0L, (g, r) -> g | shiftleft(1L, cast(r % 64 as int)))")
+    classes = sets.groupBy("e").agg(F.min("o").alias("id")).withColumn("s", F.size("e")).withColumn("g", bits)
+    classes = cut(classes.withColumn("lost", F.col("s") - F.bit_count("g")))
+    of = cut(sets.join(classes, "e").select("o", "id", "s"))
+    p = classes.select("id", "e", "s", "g", "lost", F.posexplode(F.slice("e", F.lit(1), F.col("s") - least_shared(F.col("s")) + 1)).alias("i", "r"))
+    p = p.join(p.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "r")
+    x = p.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("x")
+    y = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    common = F.bit_count(F.col("x.g").bitwiseAND(F.col("y.g"))) + F.least("x.lost", "y.lost")
+    most = F.least(F.col("x.s") - F.col("x.i"), F.col("y.s") - F.col("y.i"), common)
+    both = F.array_intersect("x.e", "y.e")
+    met = x.join(y, ["r", "block"]).where("x.id < y.id").where(enough(most, F.col("x.s"), F.col("y.s")))
+    met = met.where((both[0] == F.col("r")) & enough(F.size(both), F.col("x.s"), F.col("y.s")))
+    pairs = met.select(F.col("x.id").alias("ida"), F.col("y.id").alias("idb"), F.size(both).cast("bigint").alias("n"))
+    side = lambda k: of.select(F.col("o").alias(k), F.col("id").alias(f"id{k}"), F.col("s").alias(f"s{k}"))
+    apart = pairs.join(side("a"), "ida").join(side("b"), "idb")
+    first = F.col("a") < F.col("b")
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", F.when(first, F.col("sa")).otherwise(F.col("sb")).alias("sa"), F.when(first, F.col("sb")).otherwise(F.col("sa")).alias("sb"))
+    same = side("a").join(side("b"), F.col("ida") == F.col("idb")).where("a < b").where(enough(F.col("sa"), F.col("sa"), F.col("sb")))
+    return apart.union(same.select("a", "b", F.col("sa").cast("bigint"), "sa", "sb"))
+
+
+def similar_sets(membership: DataFrame, owner: str, element: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of owners whose element sets have at least ``least`` of their union in common."""
+    share = lambda n, sa, sb: n / (sa + sb - n)
+    p = overlapping_sets(membership, owner, element, lambda s: F.greatest(F.lit(1), F.ceil(least * s - 1e-9).cast("int")), lambda n, sa, sb: share(n, sa, sb) >= least)
+    return p.select("a", "b", share(F.col("n"), F.col("sa"), F.col("sb")).alias("jaccard"))
 
 
 def degrees(pairs: DataFrame, weight: str = "n") -> DataFrame:

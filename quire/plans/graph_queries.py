@@ -46,9 +46,9 @@ def coupling_edges(spark, folder):
 
 
 def similar_topics(spark, folder):
+    """Works whose concepts have a Jaccard similarity of at least 0.3, all concepts taken."""
     c = works(spark, folder).select("work", F.explode("concepts").alias("c"))
-    by = c.join(c.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m <= 100").select("c"), "c", "left_semi")
-    return G.similar_sets(by, "work", "c", 0.3).withColumn("jaccard", F.round("jaccard", 8))
+    return G.similar_sets(c, "work", "c", 0.3).withColumn("jaccard", F.round("jaccard", 8))
 
 
 def author_citation_paths(spark, folder):
