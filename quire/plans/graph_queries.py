@@ -108,10 +108,10 @@ def concept_centrality(spark, folder):
 
 
 def rare_bridges(spark, folder):
-    """Works of different clusters that share at least two concepts held by at most 30 works."""
+    """Works of different clusters that share at least two concepts other than the 50 of most works (ties by concept)."""
     w = works(spark, folder).select("work", "cluster", F.explode("concepts").alias("c"))
-    rare = w.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m <= 30").select("c")
-    pairs = G.shared_hub_pairs(w.join(rare, "c", "left_semi"), "c", "work", least=2)
+    common = w.groupBy("c").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), "c").limit(50).select("c")
+    pairs = G.overlapping_sets(w.join(common, "c", "left_anti"), "work", "c", lambda s: F.lit(2), lambda n, sa, sb: n >= 2).select("a", "b", "n")
     side = lambda x: w.select(F.col("work").alias(x), F.col("cluster").alias(f"cluster_{x}")).distinct()
     return pairs.join(side("a"), "a").join(side("b"), "b").where("cluster_a <> cluster_b")
 

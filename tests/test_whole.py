@@ -23,3 +23,17 @@ def test_similar_topics_take_all_concepts(spark, monkeypatch):
     monkeypatch.setattr(Q, "works", lambda *_: spark.createDataFrame(rows, "work string, concepts array<string>"))
     got = Q.similar_topics(spark, "").collect()
     assert len(got) == 130 * 129 // 2 and {r.jaccard for r in got} == {1.0}
+
+
+def test_rare_bridges_drop_only_the_fifty_most_frequent(spark, monkeypatch):
+    from quire.plans import graph_queries as Q
+
+    concepts = {f"W{i:04}": [*(f"top{k:02}" for k in range(50)), *(["rare", "other"] if i < 40 else [])] for i in range(45)}
+    concepts |= {"X1": ["rare", "alone"], "X2": ["other", "rare", "alone"]}
+    rows = [(o, i % 2, c) for i, (o, c) in enumerate(concepts.items())]
+    monkeypatch.setattr(Q, "works", lambda *_: spark.createDataFrame(rows, "work string, cluster int, concepts array<string>"))
+    left = {o: (k, {x for x in c if not x.startswith("top")}) for o, k, c in rows}
+    want = {(a, b, len(left[a][1] & left[b][1]), left[a][0], left[b][0]) for a, b in itertools.combinations(sorted(left), 2)}
+    want = {x for x in want if x[2] >= 2 and x[3] != x[4]}
+    got = Q.rare_bridges(spark, "").select("a", "b", "n", "cluster_a", "cluster_b").collect()
+    assert len(want) > 400 and len(got) == len(want) and set(map(tuple, got)) == want
