@@ -85,30 +85,26 @@ def kmeans(spark, folder):
 
 def _terms(spark, folder):
     w = works(spark, folder)
-    t = F.array_distinct(X.words(F.col("title"), 3, STOP))
-    return w, w.select(F.col("work").alias("id"), F.explode(t).alias("term"))
+    return w, w.select(F.col("work").alias("id"), F.array_distinct(X.words(F.col("title"), 3, STOP)).alias("terms"))
 
 
-def _queries_terms(spark, folder):
-    w, t = _terms(spark, folder)
-    return w, t, t.where(F.expr("cast(substring(id, 2) as bigint) % 20 = 0"))
+def _asked(t):
+    return t.where(F.expr("cast(substring(id, 2) as bigint) % 20 = 0"))
 
 
-def _common(t):
-    """Terms of many titles rank nothing and are left out of rankings."""
-    few = t.groupBy("term").agg(F.count(F.lit(1)).alias("m")).where("m <= 60").select("term")
-    return t.join(few, "term", "left_semi")
+def _queries_terms(spark, folder):
+    w, t = _terms(spark, folder)
+    return w, t, _asked(t)
 
 
 def _lexical(spark, folder):
     w, t, q = _queries_terms(spark, folder)
-    return w, Q.overlap_ranking(q, _common(t), 10)
+    return w, Q.overlap_top(q, t, 10)
 
 
 def _topical(spark, folder):
-    w = works(spark, folder)
-    c = _common(w.select(F.col("work").alias("id"), F.explode("concepts").alias("term")))
-    return Q.overlap_ranking(c.where(F.expr("cast(substring(id, 2) as bigint) % 20 = 0")), c, 10)
+    c = works(spark, folder).select(F.col("work").alias("id"), F.col("concepts").alias("terms"))
+    return Q.overlap_top(_asked(c), c, 10)
 
 
 def _truth(w):
@@ -141,7 +137,7 @@ def union_of_rankings(spark, folder):
 
 def boolean_search(spark, folder):
     _, t, q = _queries_terms(spark, folder)
-    return Q.boolean_or(q, _common(t))
+    return Q.overlap_sizes(q, t)
 
 
 def expanded_search(spark, folder):
@@ -149,7 +145,8 @@ def expanded_search(spark, folder):
     _, t, q = _queries_terms(spark, folder)
     b = table(spark, folder, "bridge_candidates").where("sbert_cosine >= 0.6")
     a = b.select(F.explode(X.words("term_a", 3)).alias("term"), "term_b", F.col("candidate_id").alias("order")).select("term", F.explode(X.words("term_b", 3)).alias("other"), "order").where("term <> other")
-    return Q.boolean_or(Q.expanded(q, a), _common(t))
+    e = Q.expanded(q.select("id", F.explode("terms").alias("term")), a)
+    return Q.overlap_sizes(e.groupBy("id").agg(F.collect_set("term").alias("terms")), t)
 
 
 def chi2_open_access(spark, folder):

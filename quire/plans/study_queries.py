@@ -15,7 +15,7 @@ from quire.operators import vocabulary as C
 from quire.operators.relational import top_per_group
 from quire.plans import measure_queries as _m
 from quire.plans import vocabulary_queries as _v
-from quire.plans.measure_queries import _common, _queries_terms
+from quire.plans.measure_queries import _queries_terms
 from quire.plans.vocabulary_queries import CATEGORIES, _tops
 from quire.sources.tables import table
 from quire.sources.works import WORKS_SQL, works
@@ -129,9 +129,9 @@ def aligned_pairs(spark, folder):
 def community_ranking(spark, folder):
     """Documents by shared words within the query's own cluster only."""
     w, t, q = _queries_terms(spark, folder)
-    c = w.select(F.col("work").alias("id"), "cluster")
-    inside = lambda x: x.join(c, "id").select("id", F.concat_ws(":", "cluster", "term").alias("term"))
-    return Q.overlap_ranking(inside(q), inside(_common(t)), 5).withColumn("score", F.col("score").cast("bigint"))
+    c = w.select(F.col("work").alias("id"), "cluster").where("cluster is not null")
+    inside = lambda x: x.join(c, "id").select("id", F.transform("terms", lambda t: F.concat_ws(":", "cluster", t)).alias("terms"))
+    return Q.overlap_top(inside(q), inside(t), 5).withColumn("score", F.col("score").cast("bigint"))
 
 
 def bridge_works(spark, folder):

@@ -37,3 +37,29 @@ def test_rare_bridges_drop_only_the_fifty_most_frequent(spark, monkeypatch):
     want = {x for x in want if x[2] >= 2 and x[3] != x[4]}
     got = Q.rare_bridges(spark, "").select("a", "b", "n", "cluster_a", "cluster_b").collect()
     assert len(want) > 400 and len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_rankings_count_terms_that_most_documents_have(spark):
+    from quire.operators import retrieval as R
+
+    terms = {f"W{i:03}": {"all", f"a{i % 3}", f"b{i % 5}", f"c{i % 31}"} for i in range(150)} | {"W999": {"all"}, "W998": set()}
+    t = spark.createDataFrame([(o, sorted(s)) for o, s in terms.items()], "id string, terms array<string>")
+    asked = [o for o in terms if o.endswith("0")] + ["W999"]
+    q = t.where(t.id.isin(asked))
+    want = {}
+    for o in asked:
+        scored = sorted((-len(terms[o] & terms[d]), d) for d in terms if d != o and terms[o] & terms[d])[:10]
+        want |= {(o, d): (k + 1, float(-n)) for k, (n, d) in enumerate(scored)}
+    sizes = {o: sum(bool(terms[o] & s) for s in terms.values()) for o in asked}
+    for block in (40, 8000):
+        assert {(r.query, r.doc): (r.place, r.score) for r in R.overlap_top(q, t, 10, block).collect()} == want
+        assert {r.query: r.n_docs for r in R.overlap_sizes(q, t, block).collect()} == sizes
+
+
+def test_ranking_and_search_take_all_words(spark, monkeypatch):
+    from quire.plans import measure_queries as M
+
+    rows = [(f"W{i * 20:05}", "common words", "common words", ["c"]) for i in range(80)]
+    monkeypatch.setattr(M, "works", lambda *_: spark.createDataFrame(rows, "work string, title string, abstract string, concepts array<string>"))
+    assert {r.n_docs for r in M.boolean_search(spark, "").collect()} == {80}
+    assert M.lexical_ranking(spark, "").count() == M._topical(spark, "").count() == 800
