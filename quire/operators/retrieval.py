@@ -30,7 +30,7 @@ def _overlaps(queries: DataFrame, docs: DataFrame, result, schema: str, block: i
     Both are (id, terms: array). Every block of queries meets every block of documents; in a task the documents'
     terms are inverted lists, so that counting needs no shuffle of pairs however common a term is.
     """
-    have = lambda x: cut(x.select("id", F.array_distinct("terms").alias("terms")).where("id is not null and size(terms) > 0"))
+    have = lambda x: cut(x.select("id", F.array_distinct("terms").alias("terms"))).where("id is not null and size(terms) > 0")
     q, d = have(queries), have(docs)
     nq, nd = (-(-x.count() // block) or 1 for x in (q, d))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))

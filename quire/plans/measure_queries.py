@@ -84,8 +84,11 @@ def kmeans(spark, folder):
 
 
 def _terms(spark, folder):
+    """Words and neighbouring pairs of words of each work's abstract."""
     w = works(spark, folder)
-    return w, w.select(F.col("work").alias("id"), F.array_distinct(X.words(F.col("title"), 3, STOP)).alias("terms"))
+    both = lambda x: F.array_distinct(F.concat(x, X.ngrams(x, 2)))
+    # X.terms, but with the words bound to a variable: else they are found again for each pair
+    return w, w.select(F.col("work").alias("id"), F.transform(F.array(X.words("abstract", 3, STOP)), both)[0].alias("terms"))
 
 
 def _asked(t):

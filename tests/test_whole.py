@@ -63,3 +63,13 @@ def test_ranking_and_search_take_all_words(spark, monkeypatch):
     monkeypatch.setattr(M, "works", lambda *_: spark.createDataFrame(rows, "work string, title string, abstract string, concepts array<string>"))
     assert {r.n_docs for r in M.boolean_search(spark, "").collect()} == {80}
     assert M.lexical_ranking(spark, "").count() == M._topical(spark, "").count() == 800
+
+
+def test_ranking_reads_abstracts_and_their_bigrams(spark, monkeypatch):
+    from quire.plans import measure_queries as M
+
+    texts = ["glass from the compost heap", "compost heap glass", "heap compost and glass", "starch", None]
+    rows = [(f"W{i + 20:05}", "same title", x, ["c"]) for i, x in enumerate(texts)]
+    monkeypatch.setattr(M, "works", lambda *_: spark.createDataFrame(rows, "work string, title string, abstract string, concepts array<string>"))
+    got = [(r.query, r.doc, r.place, r.score) for r in M.lexical_ranking(spark, "").orderBy("place").collect()]
+    assert got == [("W00020", "W00021", 1, 4), ("W00020", "W00022", 2, 3)]
