@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, drop
 
 
 def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
 
     Alternates linking every node's larger neighbours to its smallest one and every smaller
     neighbour likewise (large-star and small-star), which ends after about log(n) steps even on
-    long chains. Self-loops count as nodes; null ends are dropped.
+    long chains. Self-loops count as nodes; null ends are dropped. Raises if ``most_steps`` don't do.
     """
     e = edges.select("src", "dst").where("src is not null and dst is not null")
     nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -30,10 +30,14 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        before, now = now, cut(small)
-        same = before.count() == now.count() and before.exceptAll(now).isEmpty()
+        fresh = cut(small)
+        same = now.count() == fresh.count() and now.exceptAll(fresh).isEmpty()
+        drop(now)
+        now = fresh
         if same:
             break
+    else:
+        raise RuntimeError(f"components still change after {most_steps} steps")
     return nodes.join(now.groupBy("u").agg(F.min("v").alias("m")), F.col("id") == F.col("u"), "left").select(
         "id", F.coalesce("m", "id").alias("component")
     )
@@ -177,34 +181,58 @@ def ancestors(is_a: DataFrame, most_depth: int = 5) -> DataFrame:
     return known
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, steps: int = 20, weight: str | None = None) -> DataFrame:
-    """(id, rank), summing to 1; nodes without out-edges give to all. A fixed number of steps."""
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, weight: str | None = None, most_steps: int = 200) -> DataFrame:
+    """(id, rank), summing to 1; nodes without out-edges give to all.
+
+    What those nodes give is the same for every node, so the ranks are in proportion to the solution of
+    x = 1 + damping * P'x, which needs no sum over all nodes from step to step. Steps go on, five between
+    two kept tables, until the ranks move by less than ``tolerance`` of their sum; else an error is raised.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.groupBy("src", "dst").agg(F.sum(w).alias("w"))
-    e = cut(e.join(e.groupBy("src").agg(F.sum("w").alias("t")), "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")))
-    nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
-    n = nodes.count()
-    if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(steps):
-        got = e.join(rank, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("g"))
-        raw = cut(nodes.join(got, "id", "left").select("id", F.coalesce("g", F.lit(0.0)).alias("g")))
-        lost = 1.0 - raw.agg(F.sum("g")).first()[0]
-        rank = raw.select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.col("g")).alias("rank"))
-    return rank
-
-
-def eigenvector_centrality(pairs: DataFrame, weight: str = "n", steps: int = 20) -> DataFrame:
-    """(id, centrality), of unit length, by power iteration on the undirected graph plus its identity."""
-    both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col(weight).alias("w")).union(pairs.select("b", "a", weight)))
-    v = both.select(F.col("src").alias("id")).distinct().withColumn("v", F.lit(1.0))
-    for _ in range(steps):
-        got = both.join(v, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("v") * F.col("w")).alias("g"))
-        raw = cut(v.join(got, "id", "left").select("id", (F.col("v") + F.coalesce("g", F.lit(0.0))).alias("v")))
-        norm = raw.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 1.0
-        v = raw.select("id", (F.col("v") / norm).alias("v"))
-    return v.withColumnRenamed("v", "centrality")
+    e = cut(e.join(e.groupBy("src").agg(F.sum("w").alias("t")), "src").select("src", "dst", (damping * F.col("w") / F.col("t")).alias("p")))
+    x = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("x", F.lit(1.0)))
+    for _ in range(0, most_steps, 5):
+        now = x.select("id", "x", F.col("x").alias("before"))
+        for _ in range(5):
+            got = e.join(now.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("p")).alias("g"))
+            now = now.select("id", "x").alias("n").join(got, "id", "left").select("id", (1 + F.coalesce("g", F.lit(0.0))).alias("x"), F.col("n.x").alias("before"))
+        fresh = cut(now)
+        drop(x)
+        x = fresh
+        moved, whole = x.agg(F.sum(F.abs(F.col("x") - F.col("before"))), F.sum("x")).first()
+        if moved is None or moved <= tolerance * whole:
+            return x.select("id", (F.col("x") / F.lit(whole or 1.0)).alias("rank"))
+    raise RuntimeError(f"ranks still move after {most_steps} steps")
+
+
+def eigenvector_centrality(pairs: DataFrame, weight: str = "n", tolerance: float = 1e-6, most_steps: int = 100) -> DataFrame:
+    """(id, centrality), of unit length, by power iteration on the undirected graph plus its identity, five
+    steps between two kept tables, until a step moves the values by less than ``tolerance`` on average. Where ``most_steps``
+    don't do, as on graphs of several equal parts, the weighted degrees of unit length are given instead."""
+    both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col(weight).cast("double").alias("w")).union(pairs.select("b", "a", F.col(weight).cast("double"))))
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("v"))
+    top = degree.agg(F.max("v")).first()[0] or 1.0
+
+    def unit(v):
+        norm = v.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 1.0
+        return v.withColumn("v", F.col("v") / F.lit(norm))
+
+    raw = cut(degree)
+    v = unit(raw)
+    for _ in range(0, most_steps, 5):
+        now = v.select("id", "v", F.col("v").alias("was"))
+        for _ in range(5):
+            got = both.join(now.select(F.col("id").alias("src"), "v"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.col("v") * F.col("w")) / top).alias("g"))
+            now = now.select("id", "v").join(got, "id", "left").select("id", (F.col("v") / top + F.coalesce("g", F.lit(0.0))).alias("v"), F.col("v").alias("was"))
+        fresh = cut(now)
+        drop(raw)
+        raw, v = fresh, unit(fresh)
+        grown, was, m = fresh.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.sqrt(F.sum(F.col("was") * F.col("was"))), F.count(F.lit(1))).first()
+        moved = fresh.agg(F.sum(F.abs(F.col("v") / F.lit(grown or 1.0) - F.col("was") / F.lit(was or 1.0)))).first()[0]
+        if moved is None or moved <= tolerance * m:
+            return v.select("id", F.col("v").alias("centrality"))
+    return unit(degree).withColumnRenamed("v", "centrality")
 
 
 def label_communities(pairs: DataFrame, steps: int = 8, weight: str = "n") -> DataFrame:

@@ -10,12 +10,9 @@ from quire.operators.relational import top_per_group
 from quire.sources.tables import table
 from quire.sources.works import CITATIONS_SQL, WORKS_SQL, citations, works
 
-#: The holder of unresolved names stands for nobody, so it makes no co-authors.
-NOBODY = "A9000000000"
-
 
 def _authors(w):
-    return w.select("work", "year", "citations", "cluster", F.explode("authors").alias("author")).where(F.col("author") != NOBODY)
+    return w.select("work", "year", "citations", "cluster", F.explode("authors").alias("author"))
 
 
 def _cites(spark, folder):
@@ -61,15 +58,17 @@ def author_citation_paths(spark, folder):
 
 
 def topic_experts(spark, folder):
-    x = works(spark, folder).select(F.explode("authors").alias("author"), "concepts").where(F.col("author") != NOBODY).select("author", F.explode("concepts").alias("concept"))
+    x = works(spark, folder).select(F.explode("authors").alias("author"), "concepts").select("author", F.explode("concepts").alias("concept"))
     n = x.groupBy("author", "concept").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     return n.withColumn("level", F.when(F.col("n") >= 10, "expert").when(F.col("n") >= 5, "advanced").otherwise("regular"))
 
 
 def h_index(spark, folder):
-    x = _authors(works(spark, folder)).select("author", "work", F.coalesce("citations", F.lit(0)).alias("c"))
-    r = x.withColumn("place", F.row_number().over(Window.partitionBy("author").orderBy(F.desc("c"), "work")))
-    return r.groupBy("author").agg(F.coalesce(F.max(F.when(F.col("c") >= F.col("place"), F.col("place"))), F.lit(0)).alias("h"), F.count(F.lit(1)).alias("n"))
+    """An author's works are counted by citations first, so that the author of most works is no large group."""
+    x = _authors(works(spark, folder)).groupBy("author", F.coalesce("citations", F.lit(0)).alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    upto = x.withColumn("upto", F.sum("k").over(Window.partitionBy("author").orderBy(F.desc("c"))))
+    h = F.max(F.greatest(F.lit(0), F.least("c", "upto"))).cast("int")
+    return upto.groupBy("author").agg(h.alias("h"), F.sum("k").alias("n"))
 
 
 def career_spans(spark, folder):
@@ -203,7 +202,7 @@ QUERIES = {f.__name__: f for f in (
     merged_edges, region_ancestors, ancestor_coverage, usage_by_period, profile_by_language, graph_counts, graph_invariants, pagerank, eigenvector, concept_communities)}
 
 _W = "WITH RECURSIVE " + WORKS_SQL
-_A = _W + f", au AS (SELECT * FROM (SELECT work, year, citations, cluster, unnest(authors) AS author FROM works) WHERE author <> '{NOBODY}')"
+_A = _W + f", au AS (SELECT * FROM (SELECT work, year, citations, cluster, unnest(authors) AS author FROM works) WHERE author <> 'A9000000000')"
 _CO = _A + ", co AS (SELECT x.author AS a, y.author AS b, count(*) AS n FROM au x JOIN au y ON x.work = y.work AND x.author < y.author GROUP BY ALL)"
 _C = _W + ", " + CITATIONS_SQL
 _L = _C + ", lab AS (SELECT src, dst, s.cluster AS sl, d.cluster AS dl FROM cites JOIN works s ON s.work = src JOIN works d ON d.work = dst WHERE s.cluster IS NOT NULL AND d.cluster IS NOT NULL)"

@@ -197,10 +197,11 @@ def diverse_examples(spark, folder):
 
 
 def decision_precedence(spark, folder):
+    """Each candidate's decision: that of the judge of highest precedence; judges outside the list come
+    after it, by their value and then their name."""
     j = table(spark, folder, "judgements").where("parse_ok").groupBy("candidate_id", F.lower(blank_to_null("judge")).alias("source")).agg(F.max("bridge_validity").alias("value"))
-    j = j.where("source is not null").withColumn("order", F.col("value"))
-    pri = {"atlas-judge": 3, "borea-judge": 2, "cinder-judge": 1}
-    return R.decide(j.where(F.col("source").isin(*pri)), "candidate_id", pri).select("candidate_id", "source", "value")
+    j = j.where("source is not null").withColumn("order", F.struct("value", "source"))
+    return R.decide(j, "candidate_id", {"atlas-judge": 3, "borea-judge": 2, "cinder-judge": 1}).select("candidate_id", "source", "value")
 
 
 def judge_summary(spark, folder):

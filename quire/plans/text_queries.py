@@ -113,8 +113,8 @@ def ingredient_names(spark, folder):
 
 
 def plain_pages(spark, folder):
-    t = X.without_markup(F.concat(F.lit("<p>''Note''</p> {{cite|x}} [[link|"), F.coalesce(F.col("text"), F.lit("")), F.lit("]]<br/>")))
-    return _docs(spark, folder).where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[\[\]{}<>|&']")).select("doc_id", F.md5(t).alias("digest"))
+    """Every document without the markup of wikis and HTML, null texts as empty ones."""
+    return _docs(spark, folder).select("doc_id", F.md5(X.without_markup(F.coalesce(F.col("text"), F.lit("")))).alias("digest"))
 
 
 def placeholders(spark, folder):

@@ -41,28 +41,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _remove_at_exit(spark: SparkSession, at: str) -> None:
-    """Deletes the table when the driver's Python ends; a driver that is killed leaves it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    conf = spark._jsc.hadoopConfiguration()
+def _remove(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM is gone already
+        pass
 
-    def remove() -> None:
-        try:
-            path.getFileSystem(conf).delete(path, True)
-        except Exception:  # the JVM is gone already
-            pass
 
-    atexit.register(remove)
+def drop(kept: DataFrame) -> None:
+    """Deletes a table that :func:`cut` gave and that nothing will read any more; loops keep two this way."""
+    if at := getattr(kept, "_kept_at", None):
+        _remove(kept.sparkSession, at)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs nothing.
 
     A Parquet table rather than an RDD checkpoint: columns stay pruned and compressed. It is deleted
-    when the driver ends.
+    when the driver ends; a driver that is killed leaves it.
     """
     spark = df.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    _remove_at_exit(spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    atexit.register(_remove, spark, at)
+    kept = spark.read.schema(df.schema).parquet(at)
+    kept._kept_at = at
+    return kept
