@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm.canonical import NameIndex, apart, distance, map_to_list, words_of
-from quire.llm.entity_match import FLOOR, family_name, fit, match, plain, records, search_block
+from quire.llm.entity_match import FLOOR, family_name, fit, match, plain, records, scored_pairs, with_terms
 
 ROWS = "id string, title string, names array<string>, year int, doi string, at int, score string, doc string"
 
@@ -42,20 +42,29 @@ def test_nothing_to_match(spark):
     assert match(some, some.limit(0)).collect() == [] and match(some.limit(0), some).collect() == []
 
 
-def test_search_finds_all_above_the_floor():
+def test_search_finds_all_above_the_floor(spark, monkeypatch):
+    from quire.llm import entity_match as E
+
     rng = random.Random(7)
-    docs = [set(rng.sample(range(200), 12)) for _ in range(300)]
-    queries = [set(rng.sample(sorted(docs[i]), 9)) | set(rng.sample(range(200), 2)) for i in range(0, 300, 10)]
-    count = np.zeros(200)
+    docs = [rng.sample(range(200), 12) for _ in range(300)]
+    queries = [sorted(set(rng.sample(docs[i], 9)) | set(rng.sample(range(210), 2))) for i in range(0, 300, 10)]
+    count = np.zeros(210)
     for d in docs:
-        count[list(d)] += 1
-    weights = np.log1p((len(docs) - count + 0.5) / (count + 0.5))
-    pack = lambda sets: [np.array(sorted(s), dtype=np.uint32).tobytes() for s in sets]
-    q, d, _, covered = search_block(pack(docs), pack(queries), lambda t: weights[t], 12.0, step=7)
+        count[d] += 1
+    weights = np.where(count > 0, np.log1p((len(docs) - count + 0.5) / (count + 0.5)), 0.0)
+    name = lambda s: [f"N{'abcdefghij'[x // 100]}{'abcdefghij'[x // 10 % 10]}{'abcdefghij'[x % 10]}" for x in s]
+    side = lambda sets, k: with_terms(table(spark, [(f"{k}{i}", None, name(s), None, None) for i, s in enumerate(sets)]))
     w = lambda s: sum(weights[x] for x in s)
-    want = {(i, j) for i, a in enumerate(queries) for j, b in enumerate(docs) if w(a & b) >= FLOOR * w(a)}
-    assert set(zip(q.tolist(), d.tolist())) == want and len(want) >= 30
-    assert all(abs(c - w(queries[i] & docs[j]) / w(queries[i])) < 1e-9 for i, j, c in zip(q, d, covered))
+    want = {(f"q{i}", f"d{j}"): w(set(a) & set(b)) / w(a) for i, a in enumerate(queries) for j, b in enumerate(docs) if w(set(a) & set(b)) >= FLOOR * w(a)}
+    d, q = side(docs, "d").cache(), side(queries, "q").cache()
+    for split, shard, step in ((200_000, 2_000_000, 1 << 18), (5, 50, 40)):  # frequent terms split, many shards, small steps
+        monkeypatch.setattr(E, "TERM_POSTINGS", split)
+        monkeypatch.setattr(E, "SHARD_POSTINGS", shard)
+        monkeypatch.setattr(E, "STEP", step)
+        keys = lambda x, n: x.select(F.col("id").alias(n), F.col("key").alias(f"{n}_key"))
+        got = scored_pairs(d, q).join(keys(q, "query"), "query").join(keys(d, "doc"), "doc").collect()
+        assert {(r.query_key, r.doc_key) for r in got} == set(want) and len(got) == len(want) >= 30
+        assert all(abs(r.coverage - want[r.query_key, r.doc_key]) < 1e-9 for r in got)
 
 
 def test_names_and_text():
