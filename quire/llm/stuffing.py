@@ -4,18 +4,24 @@ A page is cut into lines: at its line ends, and where a line runs on, at the end
 without any, after a fixed number of words. Each line shows one of a few symbols made of its links,
 hashtags, stuffed words (words of which the page has about one for each of its lines), share of
 function words and length. The hidden states are prose, link list, tag list and menu. The model starts from a table of
-what each state is likely to show and is trained by Baum-Welch on a bounded sample of the pages to be
-labelled, with the table as its prior; then every page is decoded. A page is flagged by the share of
-its words in lines that are not prose.
+what each state is likely to show and is trained by Baum-Welch on all pages, with the table as its
+prior: each step sums the expected counts, sixty numbers a task. Then every page is decoded. A page
+is flagged by the share of its words in lines that are not prose.
+
+Lines are looked at once: a byte and a count a line are kept, and the steps and the decoding run over
+those, many pages at a time in one array.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 STATES = ("prose", "link_list", "tag_list", "menu")
 SYMBOLS = ("prose", "weak_prose", "bare_long", "bare_short", "link", "hashtag", "stuffed", "stuffed_weak", "stuffed_prose", "wordless")
 
@@ -130,97 +136,149 @@ def prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, move, emit / emit.sum(1, keepdims=True)
 
 
-def _posterior(symbols: np.ndarray, model) -> tuple[np.ndarray, np.ndarray]:
-    """State probabilities of each line and expected transitions, by scaled forward-backward."""
+#: Lines, with what fills shorter pages up, of one array of pages.
+CELLS = 100_000
+
+
+def _padded(pages: list[np.ndarray]):
+    """(numbers of the pages, lengths, symbols filled up with -1) of pages of like length; pages without lines are left out."""
+    size = np.array([len(p) for p in pages], dtype=np.int64)
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    while len(order):
+        most = size[order[-1]]
+        take = order[-max(1, CELLS // most) :]
+        order = order[: -len(take)]
+        out = np.full((len(take), most), -1, dtype=np.int64)
+        out[np.arange(most) < size[take][:, None]] = np.concatenate([pages[k] for k in take])
+        yield take, size[take], out
+
+
+def expected(pages: list[np.ndarray], model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected numbers of beginnings by state, transitions and symbols by state, by scaled forward-backward."""
     begin, move, emit = model
-    b = emit[:, symbols].T
-    n = len(symbols)
-    f, scale = np.empty((n, 4)), np.empty(n)
-    f[0] = begin * b[0]
-    for t in range(n):
-        if t:
-            f[t] = (f[t - 1] @ move) * b[t]
-        scale[t] = f[t].sum()
-        f[t] /= scale[t]
-    back = np.ones((n, 4))
-    moved = np.zeros((4, 4))
-    for t in range(n - 2, -1, -1):
-        x = b[t + 1] * back[t + 1] / scale[t + 1]
-        moved += f[t][:, None] * move * x
-        back[t] = move @ x
-    return f * back, moved
-
-
-def train(pages: list[np.ndarray], steps: int = 8, strength: float = 400.0):
-    """Baum-Welch on the pages' symbols; the table before training counts as ``strength`` lines a state."""
-    start = model = prior()
-    for _ in range(steps):
-        begin, move, emit = (strength * x for x in start)
-        for s in pages:
-            if len(s):
-                p, moved = _posterior(s, model)
-                begin = begin + p[0]
-                move = move + moved
-                for k in range(4):
-                    emit[k] += np.bincount(s, weights=p[:, k], minlength=len(SYMBOLS))
-        model = (begin / begin.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-    return model
+    n_begin, n_move, n_emit = np.zeros(4), np.zeros((4, 4)), np.zeros((4, len(SYMBOLS)))
+    for _, size, x in _padded(pages):
+        b = np.where((x >= 0)[:, :, None], emit.T[x], 1.0)
+        f, scale = np.empty(b.shape), np.ones(x.shape)
+        for t in range(x.shape[1]):
+            now = (f[:, t - 1] @ move if t else begin) * b[:, t]
+            live = t < size
+            scale[:, t] = np.where(live, now.sum(1), 1.0)
+            f[:, t] = np.where(live[:, None], now / scale[:, t, None], 0.0)
+        back = np.ones((len(x), 4))
+        for t in range(x.shape[1] - 1, -1, -1):
+            if t + 1 < x.shape[1]:
+                live = (t + 1 < size)[:, None]
+                ahead = np.where(live, b[:, t + 1] * back / scale[:, t + 1, None], 0.0)
+                n_move += move * (f[:, t].T @ ahead)
+                back = np.where(live, ahead @ move.T, 1.0)
+            p = f[:, t] * back
+            seen = t < size
+            for k in range(4):
+                n_emit[k] += np.bincount(x[seen, t], weights=p[seen, k], minlength=len(SYMBOLS))
+        n_begin += p.sum(0)
+    return n_begin, n_move, n_emit
+
+
+def step(counts, strength: float):
+    """The model of the expected counts; the table before training counts as ``strength`` lines a state."""
+    begin, move, emit = (strength * start + n for start, n in zip(prior(), counts))
+    return begin / begin.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
 
 
-def decode(symbols: np.ndarray, logs) -> np.ndarray:
-    """The most likely states (Viterbi)."""
-    begin, move, emit = logs
-    n = len(symbols)
-    back = np.zeros((n, 4), dtype=np.int8)
-    best = begin + emit[:, symbols[0]]
-    for t in range(1, n):
-        x = best[:, None] + move
-        back[t] = x.argmax(0)
-        best = x.max(0) + emit[:, symbols[t]]
-    out = np.empty(n, dtype=np.int8)
-    out[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t][out[t]]
+def decode(pages: list[np.ndarray], model) -> list[np.ndarray]:
+    """The most likely states of each page's lines (Viterbi)."""
+    begin, move, emit = (np.log(x) for x in model)
+    out = [np.zeros(0, dtype=np.int8)] * len(pages)
+    for take, size, x in _padded(pages):
+        rows = np.arange(len(x))
+        b = np.where((x >= 0)[:, :, None], emit.T[x], 0.0)
+        came = np.empty(b.shape, dtype=np.int8)
+        best = begin + b[:, 0]
+        for t in range(1, x.shape[1]):
+            reached = best[:, :, None] + move
+            live = (t < size)[:, None]
+            came[:, t] = np.where(live, reached.argmax(1), np.arange(4))
+            best = np.where(live, reached.max(1) + b[:, t], best)
+        states = np.empty(x.shape, dtype=np.int8)
+        states[:, -1] = best.argmax(1)
+        for t in range(x.shape[1] - 1, 0, -1):
+            states[:, t - 1] = came[rows, t, states[:, t]]
+        for k, n, s in zip(take, size, states, strict=True):
+            out[k] = s[:n]
     return out
 
 
-def line_shares(df: DataFrame, key: str, text: str, sample: int = 2000) -> DataFrame:
+def _pages(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.int8) for x in column.to_pylist()]
+
+
+def train(lines: DataFrame, steps: int = 8, strength: float = 0.02):
+    """Baum-Welch on the symbols of all pages (``symbols``, a byte a line); the table before training
+    counts as ``strength`` times the number of lines for each state, so that it weighs alike at every size."""
+
+    def run(model):
+        def count(batches):
+            total = np.zeros(20 + 4 * len(SYMBOLS))
+            for b in batches:
+                total += np.concatenate([x.ravel() for x in expected(_pages(b.column(0)), model)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["place", "n"])
+
+        got = lines.select("symbols").mapInArrow(count, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).collect()
+        n = np.zeros(20 + 4 * len(SYMBOLS))
+        for r in got:
+            n[r["place"]] = r["n"]
+        return n[:4], n[4:20].reshape(4, 4), n[20:].reshape(4, -1)
+
+    model = prior()
+    for _ in range(steps):
+        counts = run(model)
+        whole = counts[2].sum()
+        if not whole:
+            break
+        model = step(counts, strength * whole)
+    return model
+
+
+def line_shares(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_lines, n_words, and for each state the share of words in its lines).
 
-    The model is trained on at most ``sample`` pages, those with the lowest hash of the key; all
-    pages are decoded whole. Null, empty and blank texts have no lines and null shares. Repeated rows
-    and null keys stay. No shuffle besides the sample's.
+    The model is trained on all pages of the table, and all are decoded whole. Null, empty and blank
+    texts have no lines and null shares. Repeated rows and null keys stay. Pages are never shuffled.
     """
-    def symbols_of(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            yield pd.DataFrame({"symbols": [observe(t)[0].tobytes() for t in pdf["_t"]]})
+    def look(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                seen = [observe(t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([s.tobytes() for s, _ in seen], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in seen], pa.binary())],
+                    ["key", "symbols", "sizes"],
+                )
 
-    chosen = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("_h"), F.col(text).alias("_t")).orderBy("_h", "_t").limit(sample)
-    seen = chosen.select("_t").mapInPandas(symbols_of, "symbols binary").collect()  # a byte a line of the sample
-    model = train([np.frombuffer(bytes(r[0]), dtype=np.int8) for r in seen])
-    logs = tuple(np.log(x) for x in model)
     kind = df.schema[key].dataType.simpleString()
+    lines = cut(df.select(key, text).mapInArrow(look, f"key {kind}, symbols binary, sizes binary"))
+    model = train(lines)
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for t in pdf[text]:
-                symbols, sizes = observe(t if isinstance(t, str) else None)
-                if not len(symbols):
-                    out.append((0, 0, None, None, None, None))
-                    continue
-                whole = np.bincount(decode(symbols, logs), weights=sizes, minlength=4)
-                out.append((len(symbols), int(sizes.sum()), *(whole / whole.sum())))
-            got = pd.DataFrame(out, columns=["n_lines", "n_words", *STATES])
-            got.insert(0, key, pdf[key].array)
-            yield got
+        for b in batches:
+            states = decode(_pages(b.column(1)), model)
+            many = np.array([len(s) for s in states], dtype=np.int64)
+            row = np.repeat(np.arange(len(states)), many)
+            sizes = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype="<i4").astype(float)
+            flat = np.concatenate(states).astype(np.int64) if states else np.zeros(0, np.int64)
+            words = np.bincount(row * 4 + flat, weights=sizes, minlength=4 * len(states)).reshape(-1, 4)
+            total = words.sum(1)
+            share = words / np.where(many > 0, total, 1.0)[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(many, pa.int32()), pa.array(total.astype(np.int64), pa.int32()), *(pa.array(share[:, k], mask=many == 0) for k in range(4))],
+                ["key", "n_lines", "n_words", *STATES],
+            )
 
     shares = ", ".join(f"{s} double" for s in STATES)
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_lines int, n_words int, {shares}")
+    return lines.mapInArrow(run, f"key {kind}, n_lines int, n_words int, {shares}").withColumnRenamed("key", key)
 
 
 def stuffed_pages(df: DataFrame, key: str, text: str, most_prose: float = 0.42) -> DataFrame:

@@ -60,3 +60,29 @@ def test_stuffed_pages_are_told_from_prose(spark):
     assert len(rows) == 2 * len(PAGES) and {r.doc_id for r in rows if r.n_lines == 0} == {8, 9, 10}
     assert all(r.prose is None for r in rows if r.n_lines == 0)
     assert line_shares(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_arrays_of_pages_give_what_single_pages_give():
+    import numpy as np
+
+    from quire.llm.stuffing import SYMBOLS, decode, expected, prior
+
+    rng = np.random.default_rng(5)
+    pages = [rng.integers(0, len(SYMBOLS), n).astype(np.int8) for n in (0, 1, 2, 7, 7, 30, 3, 0, 200)]
+    begin, move, emit = prior()
+    together = expected(pages, prior())
+    alone = [expected([p], prior()) for p in pages]
+    assert all(np.allclose(x, sum(a[k] for a in alone)) for k, x in enumerate(together))
+    assert abs(together[2].sum() - sum(map(len, pages))) < 1e-6 and abs(together[1].sum() - sum(max(0, len(p) - 1) for p in pages)) < 1e-6
+    for p, states in zip(pages, decode(pages, prior())):
+        if len(p) == 3:  # all 64 paths
+            score = lambda s: np.log(begin[s[0]] * emit[s[0], p[0]]) + sum(np.log(move[a, b] * emit[b, x]) for a, b, x in zip(s, s[1:], p[1:]))
+            best = max(((i, j, k) for i in range(4) for j in range(4) for k in range(4)), key=score)
+            assert tuple(states) == best
+        assert len(states) == len(p)
+
+
+def test_no_task_reads_more_for_more_partitions(spark):
+    df = spark.createDataFrame([(i, PROSE) for i in range(40)] + [(99, "#glass #kiln #sale " * 20)], "doc_id long, text string")
+    few, many = ({(r.doc_id, round(r.prose, 9)) for r in line_shares(df.repartition(n), "doc_id", "text").collect()} for n in (1, 200))
+    assert few == many and len(few) == 41
