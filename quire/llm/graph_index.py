@@ -116,16 +116,17 @@ def build(x: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, s
     return graph
 
 
-def neighbours(x: np.ndarray, graph: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each point its ``k`` most similar others found by a beam search from the point itself;
-    missing places are -1."""
-    ids, sims = np.full((len(x), k), -1, dtype=np.int64), np.full((len(x), k), -np.inf, dtype=np.float32)
-    for lo in range(0, len(x), BATCH):
-        points = np.arange(lo, min(lo + BATCH, len(x)))
+def neighbours(x: np.ndarray, graph: np.ndarray, k: int, beam: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each point, or each of the points ``asks``, its ``k`` most similar others found by a beam search
+    from the point itself; missing places are -1."""
+    asks = np.arange(len(x)) if asks is None else asks
+    ids, sims = np.full((len(asks), k), -1, dtype=np.int64), np.full((len(asks), k), -np.inf, dtype=np.float32)
+    for lo in range(0, len(asks), BATCH):
+        points = asks[lo : lo + BATCH]
         got, s = beam_search(x, graph, x[points], points, beam)
         s = np.where((got == points[:, None]) | (got < 0), -np.inf, s)
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         take = np.arange(len(points))[:, None]
         m = top.shape[1]
-        ids[points, :m], sims[points, :m] = got[take, top], s[take, top]
+        ids[lo : lo + len(points), :m], sims[lo : lo + len(points), :m] = got[take, top], s[take, top]
     return np.where(np.isfinite(sims), ids, -1), sims

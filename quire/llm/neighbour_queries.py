@@ -24,8 +24,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar works of every work whose number is divisible by 20, against all works."""
     # neighbours that are hardly similar are harder to find than near ones: they go to more shards
-    near = similar_vectors(_vectors(spark, folder), "node_id", "vector", k=5, spill=4, beam=48)
-    return near.where(F.expr("pmod(try_cast(substring(key_a, 2) as bigint), 20) = 0")).select(
+    twentieth = lambda k: F.pmod(F.substring(k, 2, 20).try_cast("bigint"), F.lit(20)) == 0
+    near = similar_vectors(_vectors(spark, folder), "node_id", "vector", k=5, spill=4, beam=48, asks=twentieth)
+    return near.select(
         F.col("key_a").alias("node_id"), F.col("key_b").alias("neighbour_id"), "place", F.round("similarity", 6).alias("similarity")
     )
 

@@ -23,6 +23,8 @@ SPILL = 3
 #: The most members of one graph (30 MB at 384 numbers).
 MOST_MEMBERS = 20_000
 DEGREE, BEAM = 16, 48
+#: One of at most so many vectors tells how large the cells are.
+SIZED = 16
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
@@ -47,29 +49,31 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _search(x: np.ndarray, stored: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``x`` its ``k`` nearest others among the stored rows, as row numbers."""
+def _search(x: np.ndarray, stored: np.ndarray, asks: np.ndarray, k: int, beam: int) -> np.ndarray:
+    """For each row of ``x`` that asks its ``k`` nearest others among the stored rows, as row numbers, -1 for none."""
     at = np.nonzero(stored)[0]
-    ids, sims = np.full((len(x), k), -1), np.full((len(x), k), -np.inf)
-    if not len(at):
-        return ids, sims
+    ids = np.full((len(x), k), -1)
+    if not len(at) or not asks.any():
+        return ids
     graph = build(x[at], DEGREE, beam)
-    got, s = neighbours(x[at], graph, k, beam)
-    ids[at], sims[at] = np.where(got >= 0, at[got], -1), s
-    guests = np.nonzero(~stored)[0]
+    own = np.nonzero(asks[at])[0]
+    got, _ = neighbours(x[at], graph, k, beam, own)
+    ids[at[own]] = np.where(got >= 0, at[got], -1)
+    guests = np.nonzero(asks & ~stored)[0]
     for lo in range(0, len(guests), 256):
         g = guests[lo : lo + 256]
-        got, s = beam_search(x[at], graph, x[g], np.zeros(len(g), dtype=int), 2 * beam)
-        got, s = got[:, :k], s[:, :k]
-        ids[g, : got.shape[1]], sims[g, : got.shape[1]] = np.where(got >= 0, at[got], -1), s
-    return ids, sims
+        got, _ = beam_search(x[at], graph, x[g], np.zeros(len(g), dtype=int), 2 * beam)
+        got = got[:, :k]
+        ids[g, : got.shape[1]] = np.where(got >= 0, at[got], -1)
+    return ids
 
 
 def similar_vectors(
-    df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 384, least: float = -1.0, spill: int = SPILL, beam: int = BEAM
+    df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 384, least: float = -1.0, spill: int = SPILL, beam: int = BEAM, asks=None
 ) -> DataFrame:
     """(key_a, key_b, similarity, place): for each key the at most ``k`` keys of highest cosine
-    similarity, of at least ``least``, among all others; ties by the smaller key.
+    similarity, of at least ``least``, among all others; ties by the smaller key. ``asks``, a function of
+    the key's column, says which keys ask; all answer.
 
     Unusable vectors (see :func:`usable_vectors`) neither ask nor answer. Fewer than two usable
     vectors give no rows. Approximate: measured recall is in the README.
@@ -77,7 +81,9 @@ def similar_vectors(
     usable = cut(usable_vectors(df, key, vector, dims))
     n = usable.count()
     n_centres = max(1, min(MOST_CENTRES, -(-n // PER_CENTRE)))
-    some = usable.orderBy(F.xxhash64("key"), "key").limit(n_centres).select("v").toArrow().column(0).combine_chunks()
+    low = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    few = usable.where(low < int((1 << 40) * min(1.0, (n_centres + 5 * n_centres**0.5 + 10) / max(1, n))))  # before they are put in order: no more than about the centres move
+    some = few.orderBy(low, "key").limit(n_centres).select("v").toArrow().column(0).combine_chunks()
     shared = df.sparkSession.sparkContext.broadcast(_matrix(some, dims) if len(some) else np.zeros((1, dims), np.float32))
     spill = min(spill, n_centres)
 
@@ -95,8 +101,12 @@ def similar_vectors(
                 c, m = np.unique(cells(_matrix(b.column(0), dims)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(m, pa.int64())], ["cell", "m"])
 
-    members = usable.select("v").mapInArrow(sizes, "cell int, m bigint").groupBy("cell").agg(F.sum("m").alias("m"))
-    parts = {r["cell"]: -(-r["m"] // MOST_MEMBERS) for r in members.where(F.col("m") > MOST_MEMBERS).collect()}  # at most the centres
+    parts = {}
+    if n > MOST_MEMBERS:  # else no cell can be larger; a part of the vectors tells the sizes of cells well enough, and only the sizes of tasks hang on it
+        share = max(1, min(SIZED, n // MOST_MEMBERS))
+        told = usable.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(share)) == 0).select("v")
+        members = told.mapInArrow(sizes, "cell int, m bigint").groupBy("cell").agg((F.sum("m") * share).alias("m"))
+        parts = {r["cell"]: -(-r["m"] // MOST_MEMBERS) for r in members.where(F.col("m") > MOST_MEMBERS).collect()}  # at most the centres
 
     def route(batches):
         for b in batches:
@@ -104,6 +114,7 @@ def similar_vectors(
                 part = b.slice(lo, 2048)
                 x = _matrix(part.column(1), dims)
                 own = cells(x)
+                ask = np.asarray(part.column(3))
                 row, cell = np.repeat(np.arange(len(x)), own.shape[1]), own.ravel()
                 piece, stays = np.zeros(len(row), dtype=np.int64), np.ones(len(row), dtype=bool)
                 if parts:
@@ -112,27 +123,31 @@ def similar_vectors(
                     row, cell, h = (np.repeat(a, many) for a in (row, cell, h))
                     piece = np.concatenate([np.arange(m) for m in many])
                     stays = piece == h
+                    use = stays | ask[row]
+                    row, cell, piece, stays = row[use], cell[use], piece[use], stays[use]
                 raw = [r.tobytes() for r in x]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cell * 100_000 + piece, pa.int64()),
                         part.column(0).take(pa.array(row)),
                         pa.array(stays),
+                        pa.array(ask[row]),
                         pa.array([raw[i] for i in row], pa.binary()),
                     ],
-                    ["shard", "key", "stays", "unit"],
+                    ["shard", "key", "stays", "asks", "unit"],
                 )
 
     kind = usable.schema["key"].dataType.simpleString()
-    routed = usable.select("key", "v", F.expr("pmod(xxhash64(key), 1000003)").alias("h")).mapInArrow(
-        route, f"shard bigint, key {kind}, stays boolean, unit binary"
+    asking = F.coalesce(asks(F.col("key")), F.lit(False)) if asks else F.lit(True)
+    routed = usable.select("key", "v", F.expr("pmod(xxhash64(key), 1000003)").alias("h"), asking.alias("asks")).mapInArrow(
+        route, f"shard bigint, key {kind}, stays boolean, asks boolean, unit binary"
     )
 
     def search(pdf):
         import pandas as pd
 
         x = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float32).reshape(-1, dims)
-        ids, _ = _search(x, pdf["stays"].to_numpy(), k + 1, beam)
+        ids = _search(x, pdf["stays"].to_numpy(), pdf["asks"].to_numpy(), k + 1, beam)
         row, place = np.nonzero(ids >= 0)
         other = ids[row, place]
         exact = np.empty(len(row))
