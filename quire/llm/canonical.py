@@ -19,13 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 #: The least Jaccard similarity of two sets of letter pairs.
 LEAST = 0.3
 #: Names of one block of the reference list, which goes to all executors; longer lists take several blocks.
 BLOCK = 50_000
 NONE = "none"
 
-#: Amounts, units, and words of preparation or quality, that don't change what a label means: fixed values.
+#: Amounts, units, and words of preparation or quality, that don't change what a label means: a list tuned on such labels.
 WITHOUT_MEANING = frozenset(
     """
     a an the of some little few good best fine fresh ripe cold hot warm dry dried washed roasted boiled baked chopped finely
@@ -120,7 +122,7 @@ def apart(words: list[str], name: list[str]) -> int:
     """How far a label's words are from a name's: the sum over a pairing of all words of both, or over
     the words written as one; -1 if some word has no partner."""
     best = -1
-    if len(words) == len(name) <= 4:
+    if len(words) == len(name):
         best = _pairing(words, name)
     if len(words) != len(name) and min(len(words), len(name)) == 1:
         a = "".join(words)
@@ -132,17 +134,42 @@ def apart(words: list[str], name: list[str]) -> int:
     return best
 
 
+_NEVER = 10**6
+
+
 def _pairing(words: list[str], name: list[str]) -> int:
-    if not words:
-        return 0
-    best = -1
-    for k, meant in enumerate(name):
-        d = written(words[0], meant)
-        if d >= 0:
-            rest = _pairing(words[1:], name[:k] + name[k + 1 :])
-            if rest >= 0 and (best < 0 or d + rest < best):
-                best = d + rest
-    return best
+    """The least sum of edits over all ways to pair the words with the name's, -1 if there is none: an
+    assignment found word by word along cheapest alternating paths, however many words there are."""
+    cost = [[d if (d := written(w, meant)) >= 0 else _NEVER for meant in name] for w in words]
+    if any(min(row) == _NEVER for row in cost):
+        return -1
+    n = len(words)
+    partner = [-1] * n  # of each of the name's words
+    gain_w, gain_n = [0] * n, [0] * n
+    for start in range(n):
+        far, via, done = [4 * _NEVER * n] * n, [-1] * n, [False] * n
+        w, last = start, -1
+        while w >= 0:
+            for k in range(n):
+                if not done[k]:
+                    d = cost[w][k] - gain_w[w] - gain_n[k] + (far[last] if last >= 0 else 0)
+                    if d < far[k]:
+                        far[k], via[k] = d, last
+            last = min((k for k in range(n) if not done[k]), key=far.__getitem__)
+            done[last] = True
+            w = partner[last]
+        end = far[last]
+        gain_w[start] += end
+        for k in range(n):
+            if done[k] and k != last:
+                gain_w[partner[k]] += end - far[k]
+                gain_n[k] -= end - far[k]
+        while last >= 0:
+            before = via[last]
+            partner[last] = partner[before] if before >= 0 else start
+            last = before
+    total = sum(cost[partner[k]][k] for k in range(n))
+    return total if total < _NEVER else -1
 
 
 class NameIndex:
@@ -157,7 +184,6 @@ class NameIndex:
         for k, (_, _, s) in enumerate(self.names):
             for i, p in enumerate(self.prefix(s)):
                 self.index[p].append((k, i))
-        self.known: dict[str, tuple | None] = {}
 
     def order(self, s: set[str]) -> list[str]:
         return sorted(s, key=lambda p: (self.count.get(p, 0), p))
@@ -186,18 +212,15 @@ class NameIndex:
 
     def best(self, label: str) -> tuple[int, float, str] | None:
         """(edits, -Jaccard, entry) of the best name that passes the check of the words, or nothing."""
-        if label in self.known:
-            return self.known[label]
-        words = words_of(label)
+        return self.best_of(words_of(label))
+
+    def best_of(self, words: list[str]) -> tuple[int, float, str] | None:
         found = None
         if words:
             for jaccard, k in self.similar(pairs_of(words)):
                 d = apart(words, self.names[k][1])
                 if d >= 0 and (found is None or (d, -jaccard, self.names[k][0]) < found):
                     found = (d, -jaccard, self.names[k][0])
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[label] = found
         return found
 
 
@@ -206,39 +229,47 @@ def map_to_list(df: DataFrame, key: str, label: str, names: DataFrame, entry: st
 
     ``names`` has one row per name of an entry. Rows with a null or blank label have no row. Repeats
     of a row give one row; a key with several labels is mapped by its smallest. Null keys, names and
-    entries are dropped. An empty list maps all to 'none'. Names go out in blocks of a fixed size,
-    each block over all labels.
+    entries are dropped. An empty list maps all to 'none'. Labels of the same words are looked up once;
+    names go out in blocks of a fixed size, one after the other, each block over all distinct labels.
     """
     rows = (
         df.where(F.col(key).isNotNull() & (F.regexp_replace(label, r"\s+", "") != ""))
         .groupBy(F.col(key).alias("key"))
         .agg(F.min(label).alias("label"))
     )
-    # small rows, much work: as many tasks as the session has partitions, whatever their size
-    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = rows.schema["key"].dataType.simpleString()
-    known = names.select(F.col(entry).cast("string").alias("e"), F.col(name).alias("n")).where("e is not null and n is not null").distinct()
+
+    def clean(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"].array, "form": [" ".join(words_of(x)) for x in pdf["label"]]})
+
+    meant = cut(rows.mapInPandas(clean, f"key {kind}, form string"))
+    # labels of the same words are looked up once; small rows, much work, so they go to all tasks whatever their size
+    forms = cut(meant.where("form <> ''").select("form").distinct().repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "form"))
+    known = cut(names.select(F.col(entry).cast("string").alias("e"), F.col(name).alias("n")).where("e is not null and n is not null").distinct())
     blocks = max(1, -(-known.count() // BLOCK))
-    schema = f"key {kind}, edits int, unlike double, entry string"
 
     def mapper(block: list[tuple[str, str]]):
         def run(batches):
             index = NameIndex(block, least)
             for pdf in batches:
-                got = [index.best(x) or (None, None, None) for x in pdf["label"]]
+                got = [index.best_of(x.split(" ")) or (None, None, None) for x in pdf["form"]]
                 out = pd.DataFrame(got, columns=["edits", "unlike", "entry"]).astype({"edits": "Int32", "unlike": "Float64"})
-                out.insert(0, "key", pdf["key"].array)
-                yield out
+                out.insert(0, "form", pdf["form"].array)
+                yield out[out["entry"].notna()]
 
         return run
 
-    parts = []
-    for b in range(blocks):
+    found = None
+    for b in range(blocks):  # one block at a time, here and on the executors
         block = known.where(F.pmod(F.xxhash64("e", "n"), F.lit(blocks)) == b).collect()
-        parts.append(rows.mapInPandas(mapper(sorted((r["e"], r["n"]) for r in block)), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+        part = forms.mapInPandas(mapper(sorted((r["e"], r["n"]) for r in block)), "form string, edits int, unlike double, entry string")
+        if blocks > 1:
+            part = cut(part)
+        found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        out = out.groupBy("key").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("edits", "unlike", "entry"))).alias("x")).select("key", "x.*")
-    return out.select(F.col("key").alias(key), F.coalesce("entry", F.lit(NONE)).alias(entry), "edits", (-F.col("unlike")).alias("similarity"))
+        found = found.groupBy("form").agg(F.min(F.struct("edits", "unlike", "entry")).alias("x")).select("form", "x.*")
+    # most labels share few forms: the forms' side is never the hot one
+    return meant.join(found, "form", "left").select(
+        F.col("key").alias(key), F.coalesce("entry", F.lit(NONE)).alias(entry), "edits", (-F.col("unlike")).alias("similarity")
+    )

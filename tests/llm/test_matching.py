@@ -116,3 +116,20 @@ def test_labels_of_a_table(spark, monkeypatch):
         assert {(r.node_id, r.foodon_id) for r in map_to_list(df, "node_id", "label", names, "foodon_id", "name").collect()} == want
     assert {r.foodon_id for r in map_to_list(df, "node_id", "label", names.limit(0), "foodon_id", "name").collect()} == {"none"}
     assert map_to_list(df.limit(0), "node_id", "label", names, "foodon_id", "name").collect() == []
+
+
+def test_long_names_are_paired_whole():
+    import itertools
+
+    name = "sweet white wine vinegar sauce"
+    index = NameIndex([("F1", name), ("F2", "wine"), ("F3", "white vinegar")])
+    assert index.best(name)[2] == "F1" and index.best("sause of wihte wine sweet vinegar")[2] == "F1"
+    assert index.best("sweet white wine vinegar kettle") is None
+    rng = random.Random(3)
+    foods = ["wine", "vine", "vinegar", "sauce", "sweet", "swede", "white", "whites", "salt"]
+    from quire.llm.canonical import written
+
+    for _ in range(150):
+        a, b = ([rng.choice(foods) for _ in range(n)] for n in [rng.randint(2, 6)] * 2)
+        sums = [sum(d) for p in itertools.permutations(b) if min(d := [written(x, y) for x, y in zip(a, p)]) >= 0]
+        assert apart(a, b) == min(sums, default=-1)
