@@ -11,12 +11,22 @@ from __future__ import annotations
 import numpy as np
 
 BATCH = 256
+#: The most points whose similarities are all made at once (64 MB), by one product of matrices that costs less
+#: than gathering vectors at every step; larger sets are gathered. Either way the same numbers up to rounding.
+WHOLE = 4096
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def similarities(x: np.ndarray) -> np.ndarray | None:
+    return x @ x.T if len(x) <= WHOLE else None
+
+
+def beam_search(
+    x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int, table: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities, best first, of the ``beam`` best points seen from each query's ``start``.
 
     ``graph`` has a row of neighbour ids per point, padded with -1; missing places of the result are -1.
+    ``table`` has the queries' similarities to all points, if they are known.
     """
     n, rows = len(x), np.arange(len(queries))
     seen = np.zeros((len(queries), n + 1), dtype=bool)
@@ -24,7 +34,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np
     ids = np.full((len(queries), beam), n)
     sims = np.full((len(queries), beam), -np.inf, dtype=np.float32)
     ids[:, 0] = start
-    sims[:, 0] = np.einsum("bd,bd->b", x[start], queries)
+    sims[:, 0] = np.einsum("bd,bd->b", x[start], queries) if table is None else table[rows, start]
     seen[rows, start] = True
     done = np.zeros((len(queries), beam), dtype=bool)
     active = rows
@@ -41,18 +51,25 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np
         fresh = ~seen[active[:, None], near]
         near = np.where(fresh, near, n)
         seen[active[:, None], near] = True
-        got = np.matmul(x[np.minimum(near, n - 1)], queries[active][:, :, None])[:, :, 0]
+        close = np.minimum(near, n - 1)
+        got = np.matmul(x[close], queries[active][:, :, None])[:, :, 0] if table is None else table[active[:, None], close]
         got = np.where(fresh, got, -np.inf).astype(np.float32)
-        all_ids = np.concatenate([ids[active], near], axis=1)
-        all_sims = np.concatenate([sims[active], got], axis=1)
-        all_done = np.concatenate([done[active], np.zeros_like(fresh)], axis=1)
-        top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-        take = np.arange(len(active))[:, None]
-        ids[active], sims[active], done[active] = all_ids[take, top], all_sims[take, top], all_done[take, top]
+        better = (got > sims[active].min(1)[:, None]).any(1)  # else the beam stays as it is
+        if not better.any():
+            continue
+        now = active[better]
+        all_ids = np.concatenate([ids[now], near[better]], axis=1)
+        all_sims = np.concatenate([sims[now], got[better]], axis=1)
+        all_done = np.concatenate([done[now], np.zeros((len(now), near.shape[1]), dtype=bool)], axis=1)
+        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        take = np.arange(len(now))[:, None]
+        ids[now], sims[now], done[now] = all_ids[take, top], all_sims[take, top], all_done[take, top]
+    order = np.argsort(-sims, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     return np.where(np.isfinite(sims), ids, -1), sims
 
 
-def robust_prune(x: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def robust_prune(x: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: int, alpha: float, whole: np.ndarray | None = None) -> np.ndarray:
     """The kept neighbours of each point out of its ``pool`` row (ids, -1 for none), best first.
 
     On squared distances: a candidate goes when ``alpha`` times its distance to a kept neighbour is
@@ -60,19 +77,20 @@ def robust_prune(x: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: in
     """
     b, c = pool.shape
     safe = np.maximum(pool, 0)
-    v = x[safe]
-    far = 2 - 2 * np.matmul(v, x[points][:, :, None])[:, :, 0]
+    far = 2 - 2 * (np.matmul(x[safe], x[points][:, :, None])[:, :, 0] if whole is None else whole[points[:, None], safe])
     bad = (pool < 0) | (pool == points[:, None])
     sorted_pool = np.sort(np.where(bad, -1, pool), axis=1)
     far = np.where(bad, np.inf, far)
     order = np.argsort(far, axis=1, kind="stable")
     take = np.arange(b)[:, None]
-    pool, far, v = pool[take, order], far[take, order], v[take, order]
+    pool, far, safe = pool[take, order], far[take, order], safe[take, order]
     same = np.zeros((b, c), dtype=bool)
     if (np.diff(sorted_pool, axis=1) == 0).any():  # an id can come twice: as found and as an edge that was there
         same[:, 1:] = np.triu(pool[:, :, None] == pool[:, None, :], 1).any(1)[:, 1:]
     alive = np.isfinite(far) & ~same
-    between = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))
+    if whole is None:
+        v = x[safe]
+        between = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))
     out = np.full((b, degree), -1, dtype=np.int32)
     count = np.zeros(b, dtype=int)
     for k in range(c):
@@ -82,12 +100,14 @@ def robust_prune(x: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: in
         r = np.nonzero(now)[0]
         out[r, count[r]] = pool[r, k]
         count[r] += 1
-        alive[r] &= alpha * between[r, k] > far[r]
+        apart = between[r, k] if whole is None else 2 - 2 * whole[pool[r, k][:, None], safe[r]]
+        alive[r] &= alpha * apart > far[r]
     return out
 
 
-def build(x: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, seed: int = 7) -> np.ndarray:
-    """The graph over the unit vectors ``x``: a row of at most ``degree`` ids per point, -1 for none."""
+def build(x: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, seed: int = 7, whole: np.ndarray | None = None) -> np.ndarray:
+    """The graph over the unit vectors ``x``: a row of at most ``degree`` ids per point, -1 for none;
+    ``whole`` is what :func:`similarities` gives."""
     n = len(x)
     rng = np.random.default_rng(seed)
     degree = max(1, min(degree, n - 1))
@@ -99,8 +119,8 @@ def build(x: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, s
     order = rng.permutation(n)
     for lo in range(0, n, BATCH):
         points = order[lo : lo + BATCH]
-        found, _ = beam_search(x, graph, x[points], np.full(len(points), middle), beam)
-        graph[points] = robust_prune(x, points, np.concatenate([found, graph[points]], axis=1).astype(np.int64), degree, alpha)
+        found, _ = beam_search(x, graph, x[points], np.full(len(points), middle), beam, None if whole is None else whole[points])
+        graph[points] = robust_prune(x, points, np.concatenate([found, graph[points]], axis=1).astype(np.int64), degree, alpha, whole)
         # backwards: group the new edges by their target
         src, dst = np.repeat(points, degree), graph[points].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
@@ -112,18 +132,20 @@ def build(x: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, s
             t, f, m = targets[a : a + BATCH], first[a : a + BATCH], many[a : a + BATCH]
             place = f[:, None] + np.arange(most)
             more = np.where(np.arange(most) < m[:, None], src[np.minimum(place, len(src) - 1)], -1)
-            graph[t] = robust_prune(x, t, np.concatenate([graph[t], more], axis=1).astype(np.int64), degree, alpha)
+            graph[t] = robust_prune(x, t, np.concatenate([graph[t], more], axis=1).astype(np.int64), degree, alpha, whole)
     return graph
 
 
-def neighbours(x: np.ndarray, graph: np.ndarray, k: int, beam: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(
+    x: np.ndarray, graph: np.ndarray, k: int, beam: int, asks: np.ndarray | None = None, whole: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """For each point, or each of the points ``asks``, its ``k`` most similar others found by a beam search
     from the point itself; missing places are -1."""
     asks = np.arange(len(x)) if asks is None else asks
     ids, sims = np.full((len(asks), k), -1, dtype=np.int64), np.full((len(asks), k), -np.inf, dtype=np.float32)
     for lo in range(0, len(asks), BATCH):
         points = asks[lo : lo + BATCH]
-        got, s = beam_search(x, graph, x[points], points, beam)
+        got, s = beam_search(x, graph, x[points], points, beam, None if whole is None else whole[points])
         s = np.where((got == points[:, None]) | (got < 0), -np.inf, s)
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         take = np.arange(len(points))[:, None]

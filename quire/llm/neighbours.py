@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.graph_index import beam_search, build, neighbours
+from quire.llm.graph_index import beam_search, build, neighbours, similarities
 from quire.session import cut
 
 #: Vectors per centre, and the most centres: their matrix goes to all executors (12 MB at 384 numbers).
@@ -55,14 +55,16 @@ def _search(x: np.ndarray, stored: np.ndarray, asks: np.ndarray, k: int, beam: i
     ids = np.full((len(x), k), -1)
     if not len(at) or not asks.any():
         return ids
-    graph = build(x[at], DEGREE, beam)
+    y = x[at]
+    whole = similarities(y)
+    graph = build(y, DEGREE, beam, whole=whole)
     own = np.nonzero(asks[at])[0]
-    got, _ = neighbours(x[at], graph, k, beam, own)
+    got, _ = neighbours(y, graph, k, beam, own, whole)
     ids[at[own]] = np.where(got >= 0, at[got], -1)
     guests = np.nonzero(asks & ~stored)[0]
     for lo in range(0, len(guests), 256):
         g = guests[lo : lo + 256]
-        got, _ = beam_search(x[at], graph, x[g], np.zeros(len(g), dtype=int), 2 * beam)
+        got, _ = beam_search(y, graph, x[g], np.zeros(len(g), dtype=int), 2 * beam)
         got = got[:, :k]
         ids[g, : got.shape[1]] = np.where(got >= 0, at[got], -1)
     return ids
