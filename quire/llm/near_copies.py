@@ -27,8 +27,10 @@ from quire.session import cut
 
 #: Counters of the sketch: 16 MB, however many records there are.
 SKETCH_BITS = 22
-#: Records per shard of branches beyond the least number of shards, and the most shards.
-PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 50_000, 12, 512
+#: Records per shard of branches beyond the least number of shards.
+PER_SHARD, LEAST_SHARDS = 50_000, 12
+#: An n-gram of more records is met in parts: each two parts are one branch, and a record is in one for each part.
+HOT = 20_000
 #: Pairs looked at in one step of numpy.
 STEP = 1 << 20
 #: A class of more equal sets is linked to its first record, not expanded into all pairs.
@@ -198,7 +200,7 @@ def classes_and_links(
     sketch = np.ones(1 << SKETCH_BITS, dtype=np.uint32)
     sketch[np.asarray(counted.column("bucket"))] = np.minimum(np.asarray(counted.column("m")), 2**32 - 1)
     shared = spark.sparkContext.broadcast(sketch)
-    shards = min(MOST_SHARDS, max(LEAST_SHARDS, first.where("key is not null").count() // PER_SHARD))
+    shards = max(LEAST_SHARDS, first.where("key is not null").count() // PER_SHARD)
 
     def branches(batches):
         shingler, common, seen = Shingler(size), shared.value, set()
@@ -217,13 +219,21 @@ def classes_and_links(
                 doc, h = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
                 m = common[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((h, m, doc))
-                h, m = h[order], m[order]
+                h, m = h[order], m[order].astype(np.int64)
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 odd = np.bincount(doc * 512 + (h & np.uint64(511)).astype(np.int64), minlength=512 * len(sets)).reshape(-1, 512) & 1
                 bits = [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
                 long_, _ = _prefixes(n, t)
                 keep = (place < long_[doc]) & (m > 1)  # an n-gram counted once is nobody else's
-                doc, h, place = doc[keep], h[keep], place[keep]
+                doc, h, place, m = doc[keep], h[keep], place[keep], m[keep]
+                many = -(-m.astype(np.int64) // HOT)
+                if (many > 1).any():
+                    doc, h, place, most = (np.repeat(x, many) for x in (doc, h, place, many))
+                    other = np.arange(len(most)) - np.repeat(np.cumsum(many) - many, many)
+                    own = (np.array(classes, dtype=np.int64).view(np.uint64)[doc] % most.astype(np.uint64)).astype(np.int64)
+                    two = (np.minimum(own, other) * 1_000_003 + np.maximum(own, other)).astype(np.uint64)
+                    mixed = (h ^ (two * _A)) * _B
+                    h = np.where(most > 1, mixed ^ (mixed >> np.uint64(29)), h)
                 shard = ((h >> np.uint64(9)) % np.uint64(shards)).astype(np.int64)
                 group = doc * shards + shard
                 by = np.argsort(group, kind="stable")

@@ -48,6 +48,15 @@ def test_pairs_are_exact(spark, t):
     assert got == brute(rows, t) and ("L1", "L2") in got
 
 
+def test_frequent_ngrams_are_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HOT", 3)
+    monkeypatch.setattr(near_copies, "PER_SHARD", 5)
+    rows = texts(seed=3) + [(f"T{i:02}", "template", " ".join(f"t{k}" for k in range(40)) + f" x{i} y{i} z{i}") for i in range(25)]
+    df = spark.createDataFrame([(*r, "q", "q") for r in rows], PAPERS)
+    got = {(r.key_a, r.key_b) for r in record_pairs(*classes_and_links(df, "work", "title", "abstract")).collect()}
+    assert got == brute(rows) and ("T00", "T24") in got
+
+
 def test_large_classes_are_stars(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "EXPANDED", 3)
     rows = [(f"W{i}", "t", "some words " * 15 + "end") for i in range(6)]
