@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.relational import top_per_group
+from quire.session import cut
 
 
 def shuffled_labels(labels: DataFrame, key: str, label: str, draws: int, seed: int = 7) -> DataFrame:
@@ -31,6 +32,40 @@ def cross_share_null(edges: DataFrame, labels: DataFrame, key: str, label: str,
     return e.groupBy("draw").agg(F.avg((F.col("a") != F.col("b")).cast("int")).alias("s_cross"))
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """(key, i, n): the rows' places from 0 in the order of their key, and how many there are. Sorted parts are
+    numbered each by itself and moved on by the sizes of those before, a number a part, so no task holds all."""
+    kept = cut(df.select(F.col(key).alias("key")).orderBy("key").withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", 33)
+    sizes = kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k"))
+    ahead = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("ahead"), F.sum("k").over(Window.partitionBy()).alias("n"))  # a row per part
+    return kept.join(F.broadcast(ahead), part == F.col("part")).select("key", (F.col("ahead") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("i"), "n")
+
+
+def rotated_cross_share(edges: DataFrame, labels: DataFrame, key: str, label: str, draws: int) -> DataFrame:
+    """One row (n_draws, observed, mean, sd, z, p_low, p_high): the share of edges (src, dst) between different labels,
+    against its null distribution with the labels moved on along the keys, in ``draws`` equal steps around.
+
+    Every draw keeps how often each label occurs and how labels of neighbouring keys go together. The shares at or
+    beyond the observed one count with one more, as empirical p. Keys without a label, and their edges, are left out."""
+    l = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"))
+    at = numbered(l, "key")
+    place = cut(at.join(l, "key"))
+    by_place = place.select(F.col("i").alias("j"), "label")
+    e = edges.select("src", "dst").join(place.select(F.col("key").alias("src"), F.col("i").alias("ia"), "n"), "src").join(place.select(F.col("key").alias("dst"), F.col("i").alias("ib")), "dst")
+    e = e.select("ia", "ib", "n", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
+    moved = lambda i: (F.col(i) + F.col("draw") * F.floor(F.col("n") / (draws + 1))) % F.col("n")
+    x = e.select("draw", moved("ia").alias("ja"), moved("ib").alias("jb"))
+    x = x.join(by_place.select(F.col("j").alias("ja"), F.col("label").alias("a")), "ja").join(by_place.select(F.col("j").alias("jb"), F.col("label").alias("b")), "jb")
+    s = x.groupBy("draw").agg(F.avg((F.col("a") != F.col("b")).cast("int")).alias("s"))
+    null = F.col("draw") > 0
+    seen = s.agg(F.max(F.when(~null, F.col("s"))).alias("observed"))
+    t = s.crossJoin(F.broadcast(seen)).agg(  # one row
+        F.count_if(null).alias("n_draws"), F.max("observed").alias("observed"), F.avg(F.when(null, F.col("s"))).alias("mean"), F.stddev_samp(F.when(null, F.col("s"))).alias("sd"),
+        F.count_if(null & (F.col("s") <= F.col("observed"))).alias("low"), F.count_if(null & (F.col("s") >= F.col("observed"))).alias("high"))
+    return t.select("n_draws", "observed", "mean", "sd", F.try_divide(F.col("observed") - F.col("mean"), F.col("sd")).alias("z"), ((1 + F.col("low")) / (1 + F.col("n_draws"))).alias("p_low"), ((1 + F.col("high")) / (1 + F.col("n_draws"))).alias("p_high"))
+
+
 def random_ranking(queries: DataFrame, docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """(query, doc, place): k documents a query in the order of a hash, a ranking that knows nothing.
 

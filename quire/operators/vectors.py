@@ -216,3 +216,74 @@ def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:
         alive[j] = False
         label[label == j] = i
     return np.unique(label, return_inverse=True)[1]
+
+
+def pairs_above(df: DataFrame, key: str, vector: str, least: float, block: int = 4096) -> DataFrame:
+    """(a, b, cosine) of every two vectors, a < b, of cosine ``least`` at least: exact. Blocks of rows meet in the
+    upper triangle of blocks, each two once, one matrix product a task; the work grows with the square of the
+    rows, the result with the pairs. Null, zero and unlike long vectors are left out with their rows' nulls."""
+    spark = df.sparkSession
+    base = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    blocks = max(1, -(-base.count() // block))
+    kind = base.schema["key"].dataType.simpleString()
+    x = base.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    x = x.select("key", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        size = pdf["v"].map(len).mode().iloc[0]
+        pdf = pdf[pdf["v"].map(len) == size]
+        m = np.stack(pdf["v"].to_numpy())
+        length = np.linalg.norm(m, axis=1)
+        good = length > 0
+        keys, m, own = pdf["key"].to_numpy()[good], m[good] / length[good, None], pdf["own"].to_numpy()[good]
+        left, right = np.nonzero(own == p)[0], np.nonzero(own == q)[0]
+        out_a, out_b, out_s = [keys[:0]], [keys[:0]], [np.zeros(0)]
+        for lo in range(0, len(left), 1024):
+            rows = left[lo : lo + 1024]
+            s = m[rows] @ m[right].T
+            i, j = np.nonzero(s >= least)
+            a, b = keys[rows[i]], keys[right[j]]
+            use = a < b if p == q else a != b
+            out_a.append(np.minimum(a, b)[use])
+            out_b.append(np.maximum(a, b)[use])
+            out_s.append(s[i, j][use])
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "cosine": np.concatenate(out_s)})
+
+    return x.groupBy("p", "q").applyInPandas(meet, f"a {kind}, b {kind}, cosine double")
+
+
+def scatter(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """One row of a labelling's measures: calinski_harabasz, davies_bouldin, silhouette (by distance to centres) and
+    least, the smallest group's size. One row per group goes to all tasks, so it is for few groups."""
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    e = df.where(F.col(label).isNotNull()).select(F.col(label).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    c = centroids(e, "g", "v").select(F.col("group").alias("c"), "n", "centroid")
+    x = e.withColumn("_i", F.monotonically_increasing_id()).join(F.broadcast(c)).select("g", "_i", "c", far(F.col("v"), F.col("centroid")).alias("d"))  # few groups
+    own = F.col("g") == F.col("c")
+    row = x.groupBy("_i", "g").agg(F.max(F.when(own, F.col("d"))).alias("d"), F.min(F.when(~own, F.sqrt("d"))).alias("b"))
+    a = F.sqrt("d")
+    per = row.groupBy("g").agg(F.avg(a).alias("s"), F.sum("d").alias("w"), F.sum((F.col("b") - a) / F.greatest(F.col("b"), a)).alias("sil"), F.count(F.lit(1)).alias("n")).join(c.select(F.col("c").alias("g"), "centroid"), "g")
+    pair = per.alias("x").join(per.alias("y"), F.col("x.g") != F.col("y.g"))
+    worst = pair.groupBy("x.g").agg(F.max((F.col("x.s") + F.col("y.s")) / F.sqrt(far(F.col("x.centroid"), F.col("y.centroid")))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    mid = e.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mid"))  # one number a dimension
+    t = per.crossJoin(F.broadcast(mid)).agg(F.sum(F.col("n") * far(F.col("centroid"), F.col("mid"))).alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), (F.sum("sil") / F.sum("n")).alias("silhouette"), F.min("n").alias("least"))  # one row
+    ch = F.try_divide(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k")))
+    return t.crossJoin(worst).select(ch.alias("calinski_harabasz"), "davies_bouldin", "silhouette", "least", "n")  # one row each
+
+
+def k_selection(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 7) -> DataFrame:
+    """(k, calinski_harabasz, davies_bouldin, silhouette, least, chosen) of k-means for each ``k`` on unit vectors.
+
+    Chosen is the first by Calinski-Harabasz, silhouette and low Davies-Bouldin of those whose smallest group has
+    three rows and a hundredth of all at least; if there is none, of all. Ties go to the smaller k."""
+    u = df.where(F.col(key).isNotNull() & (norm(F.col(vector)) > 0)).select(F.col(key).alias("key"), unit(F.col(vector)).alias("v"))
+    out = None
+    for k in ks:
+        one = scatter(kmeans_labels(u, "key", "v", k, seed).join(u, "key"), "cluster", "v").withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    fine = (F.col("least") >= F.greatest(F.lit(3.0), F.col("n") / 100)).cast("int")
+    order = F.struct(fine, "calinski_harabasz", "silhouette", -F.col("davies_bouldin"), -F.col("k"))
+    best = F.max(order).over(Window.partitionBy())  # a row per k
+    return out.withColumn("chosen", order == best).select("k", "calinski_harabasz", "davies_bouldin", "silhouette", "least", "chosen")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import curation_queries, graph_queries, measure_queries, orphan_queries, relational_queries, study_queries, text_queries, upkeep_queries, vocabulary_queries
+from quire.plans import curation_queries, exchange_queries, graph_queries, measure_queries, orphan_queries, relational_queries, study_queries, text_queries, upkeep_queries, vocabulary_queries
 
-MODULES = [orphan_queries, relational_queries, text_queries, graph_queries, vocabulary_queries, measure_queries, curation_queries, study_queries, upkeep_queries]
+MODULES = [orphan_queries, relational_queries, text_queries, graph_queries, vocabulary_queries, measure_queries, curation_queries, study_queries, upkeep_queries, exchange_queries]
 
 
 def queries() -> dict:

@@ -49,6 +49,13 @@ def _remove(spark: SparkSession, at: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, suffix: str) -> str:
+    """A new path in the shared folder for files that are written and read again; deleted when the driver ends."""
+    at = f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}.{suffix}"
+    atexit.register(_remove, spark, at)
+    return at
+
+
 def drop(kept: DataFrame) -> None:
     """Deletes a table that :func:`cut` gave and that nothing will read any more; loops keep two this way."""
     if at := getattr(kept, "_kept_at", None):
