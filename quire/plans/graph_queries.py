@@ -195,11 +195,15 @@ def concept_communities(spark, folder):
     return G.label_communities(concept_pairs(spark, folder))
 
 
+def louvain_communities(spark, folder):
+    return G.louvain(concept_pairs(spark, folder))
+
+
 
 QUERIES = {f.__name__: f for f in (
     coauthor_edges, strong_collaborations, collaboration_degrees, cocitation_edges, coupling_edges, similar_topics, author_citation_paths, topic_experts, h_index, career_spans,
     citation_edges, cluster_insularity, corpus_insularity, cluster_modularity, participation, concept_pairs, concept_centrality, rare_bridges, coauthor_components, label_merges,
-    merged_edges, region_ancestors, ancestor_coverage, usage_by_period, profile_by_language, graph_counts, graph_invariants, pagerank, eigenvector, concept_communities)}
+    merged_edges, region_ancestors, ancestor_coverage, usage_by_period, profile_by_language, graph_counts, graph_invariants, pagerank, eigenvector, concept_communities, louvain_communities)}
 
 _W = "WITH RECURSIVE " + WORKS_SQL
 _A = _W + f", au AS (SELECT * FROM (SELECT work, year, citations, cluster, unnest(authors) AS author FROM works) WHERE author <> 'A9000000000')"
