@@ -14,6 +14,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from quire.session import cut
 LEAST = 0.3
 #: Names of one block of the reference list, which goes to all executors; longer lists take several blocks.
 BLOCK = 50_000
+#: The most labels to one task of the look-up.
+FORMS = 100_000
 NONE = "none"
 
 #: Amounts, units, and words of preparation or quality, that don't change what a label means: a list tuned on such labels.
@@ -82,6 +85,7 @@ _SPELLED = frozenset(_letters(w) for w in WITHOUT_MEANING)
 _LONG = [w for w in sorted(_SPELLED) if len(w) >= 5]
 
 
+@lru_cache(200_000)
 def _meaningless(word: str) -> bool:
     """Whether a word, or its plural, or for longer ones a spelling one edit away, means nothing."""
     if len(word) < 2 or word in _SPELLED or word.endswith("s") and word[:-1] in _SPELLED:
@@ -101,6 +105,7 @@ def pairs_of(words: list[str]) -> set[str]:
     return {f"^{w}$"[i : i + 2] for w in words for i in range(len(w) + 1)}
 
 
+@lru_cache(200_000)
 def written(word: str, meant: str) -> int:
     """How far ``word`` is from being ``meant`` in writing; -1 if it isn't. A cut-off word costs 1."""
     most = _allowed(meant)
@@ -245,9 +250,12 @@ def map_to_list(df: DataFrame, key: str, label: str, names: DataFrame, entry: st
 
     meant = cut(rows.mapInPandas(clean, f"key {kind}, form string"))
     # labels of the same words are looked up once; small rows, much work, so they go to all tasks whatever their size
-    forms = cut(meant.where("form <> ''").select("form").distinct().repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "form"))
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-meant.count() // FORMS))
+    forms = meant.where("form <> ''").select("form").distinct().repartition(tasks, "form")
     known = cut(names.select(F.col(entry).cast("string").alias("e"), F.col(name).alias("n")).where("e is not null and n is not null").distinct())
     blocks = max(1, -(-known.count() // BLOCK))
+    if blocks > 1:
+        forms = cut(forms)
 
     def mapper(block: list[tuple[str, str]]):
         def run(batches):
