@@ -254,7 +254,7 @@ def pairs_above(df: DataFrame, key: str, vector: str, least: float, block: int =
     return x.groupBy("p", "q").applyInPandas(meet, f"a {kind}, b {kind}, cosine double")
 
 
-def scatter(df: DataFrame, label: str, vector: str) -> DataFrame:
+def label_scatter(df: DataFrame, label: str, vector: str) -> DataFrame:
     """One row of a labelling's measures: calinski_harabasz, davies_bouldin, silhouette (by distance to centres) and
     least, the smallest group's size. One row per group goes to all tasks, so it is for few groups."""
     far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -281,7 +281,7 @@ def k_selection(df: DataFrame, key: str, vector: str, ks: list[int], seed: int =
     u = df.where(F.col(key).isNotNull() & (norm(F.col(vector)) > 0)).select(F.col(key).alias("key"), unit(F.col(vector)).alias("v"))
     out = None
     for k in ks:
-        one = scatter(kmeans_labels(u, "key", "v", k, seed).join(u, "key"), "cluster", "v").withColumn("k", F.lit(k))
+        one = label_scatter(kmeans_labels(u, "key", "v", k, seed).join(u, "key"), "cluster", "v").withColumn("k", F.lit(k))
         out = one if out is None else out.unionByName(one)
     fine = (F.col("least") >= F.greatest(F.lit(3.0), F.col("n") / 100)).cast("int")
     order = F.struct(fine, "calinski_harabasz", "silhouette", -F.col("davies_bouldin"), -F.col("k"))

@@ -95,7 +95,7 @@ def test_scatter(blobs):
     own = d[np.arange(120), g]
     other = np.where(np.arange(3)[None] == g[:, None], np.inf, d).min(1)
     ch = (sum(40 * ((c[k] - x.mean(0)) ** 2).sum() for k in range(3)) / 2) / ((own**2).sum() / 117)
-    r = V.scatter(df, "label", "v").first()
+    r = V.label_scatter(df, "label", "v").first()
     assert abs(r.davies_bouldin - db) < 1e-9 and abs(r.calinski_harabasz - ch) < 1e-6 and r.least == 40
     assert abs(r.silhouette - np.mean((other - own) / np.maximum(other, own))) < 1e-9
 
