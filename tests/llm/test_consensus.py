@@ -49,3 +49,30 @@ def test_no_answers(spark):
     empty = spark.createDataFrame([], ANSWERS)
     judges = reliabilities(empty)
     assert judges.collect() == [] and consensus(empty, judges).collect() == []
+
+
+def test_reliabilities_fit_each_pairs_own_overlap(judged):
+    import numpy as np
+
+    from quire.llm.consensus import SHRINK
+
+    _, answers, judges = judged
+    rows = [r for r in answers.collect() if None not in (r.item, r.annotator, r.value)]
+    found = {r.annotator: r for r in judges.collect() if r.sd > 1e-9 and r.overlap > 0}
+    names = sorted(found)
+    z = {(r.item, r.annotator): (r.value - found[r.annotator]["mean"]) / found[r.annotator].sd for r in rows if r.annotator in found}
+    items = sorted({i for i, _ in z})
+    m = np.array([[z.get((i, a), np.nan) for a in names] for i in items])
+    there = ~np.isnan(m)
+    m = np.nan_to_num(m)
+    s, n = m.T @ m, (there.T.astype(float) @ there)
+    np.fill_diagonal(s, 0)
+    np.fill_diagonal(n, 0)
+    r = np.array([found[a].reliability for a in names])
+    fit = (s @ r) / (n @ (r * r) + SHRINK)
+    assert np.abs(r - np.clip(fit, -0.99, 0.99)).max() < 0.01
+
+
+def test_unsettled_reliabilities_raise(judged):
+    with pytest.raises(RuntimeError):
+        reliabilities(judged[1], most_steps=1, tolerance=1e-12).collect()
