@@ -133,3 +133,19 @@ def test_long_names_are_paired_whole():
         a, b = ([rng.choice(foods) for _ in range(n)] for n in [rng.randint(2, 6)] * 2)
         sums = [sum(d) for p in itertools.permutations(b) if min(d := [written(x, y) for x, y in zip(a, p)]) >= 0]
         assert apart(a, b) == min(sums, default=-1)
+
+
+def test_hits_leave_in_steps(monkeypatch):
+    from quire.llm import entity_match as E
+
+    monkeypatch.setattr(E, "STEP", 100)
+    n = 1000
+    postings = np.zeros(n, dtype=E.POSTING)
+    postings["term"], postings["sig"], postings["id"] = np.arange(n) // 10, 1, np.arange(n)
+    lookups = np.zeros(n // 10, dtype=E.LOOKUP)
+    lookups["term"] = np.arange(n // 10)
+    bound = np.zeros((1, 64), dtype=np.float32)
+    bound[0, 0] = E.UNIT
+    steps = list(E.hits(postings, lookups, np.array([5]), bound))
+    assert max(len(q) for q, _ in steps) <= 100 and np.concatenate([d for _, d in steps]).tolist() == list(range(n))
+    assert list(E.hits(postings[:0], lookups, np.array([5]), bound)) == []
