@@ -149,3 +149,16 @@ def test_hits_leave_in_steps(monkeypatch):
     steps = list(E.hits(postings, lookups, np.array([5]), bound))
     assert max(len(q) for q, _ in steps) <= 100 and np.concatenate([d for _, d in steps]).tolist() == list(range(n))
     assert list(E.hits(postings[:0], lookups, np.array([5]), bound)) == []
+
+
+def test_more_frequent_terms_than_can_be_split_lose_nothing(spark, monkeypatch):
+    from quire.llm import entity_match as E
+
+    rows = [(f"d{i}", None, ["A. Common", f"B. Half{'ab'[i % 2]}", f"C. Own{chr(97 + i)}"], 2000, None) for i in range(20)]
+    docs, queries = with_terms(table(spark, rows)).cache(), with_terms(table(spark, rows)).cache()
+    monkeypatch.setattr(E, "TERM_POSTINGS", 2)
+    found = {}
+    for most in (100, 1):
+        monkeypatch.setattr(E, "MOST_SPLIT", most)
+        found[most] = {(r.query, r.doc) for r in scored_pairs(docs, queries).collect()}
+    assert found[1] == found[100] and len(found[1]) >= 20
