@@ -20,6 +20,9 @@ from quire.session import cut
 PER_CENTRE, MOST_CENTRES = 150, 8192
 #: The shards a vector goes to.
 SPILL = 3
+#: Beyond each of these numbers of centres a vector goes to one shard more: among many centres two similar vectors
+#: less often have one of their nearest in common (README).
+MORE_FROM = (500, 1500, 4000)
 #: The most members of one graph (30 MB at 384 numbers).
 MOST_MEMBERS = 20_000
 DEGREE, BEAM = 16, 48
@@ -87,7 +90,7 @@ def similar_vectors(
     few = usable.where(low < int((1 << 40) * min(1.0, (n_centres + 5 * n_centres**0.5 + 10) / max(1, n))))  # before they are put in order: no more than about the centres move
     some = few.orderBy(low, "key").limit(n_centres).select("v").toArrow().column(0).combine_chunks()
     shared = df.sparkSession.sparkContext.broadcast(_matrix(some, dims) if len(some) else np.zeros((1, dims), np.float32))
-    spill = min(spill, n_centres)
+    spill = min(spill + sum(n_centres > m for m in MORE_FROM), n_centres)
 
     def cells(x: np.ndarray) -> np.ndarray:
         c = shared.value

@@ -104,3 +104,19 @@ def test_few_or_no_vectors(spark):
     assert similar_vectors(one.limit(0), "node", "vector", dims=2).collect() == []
     two = spark.createDataFrame([("a", [1.0, 2.0], "q", "q"), ("b", [1.0, 2.0], "q", "q")], VECTORS)
     assert {(r.key_a, r.key_b, r.place) for r in similar_vectors(two, "node", "vector", dims=2).collect()} == {("a", "b", 1), ("b", "a", 1)}
+
+
+def test_similar_vectors_meet_among_many_centres(spark, monkeypatch):
+    from quire.llm import neighbours as N
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 64)) + 0.5 * rng.normal(size=(4, 64))[np.arange(1200) % 4]
+    y = x + 0.62 * rng.normal(size=x.shape)
+    v = np.concatenate([x, y]).astype(np.float32)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, i + 1200) for i in range(1200) if unit[i] @ unit[i + 1200] >= 0.8}
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id int, v array<float>").repartition(4).cache()
+    monkeypatch.setattr(N, "PER_CENTRE", 4)
+    found = {(r.key_a, r.key_b) for r in N.similar_vectors(df, "id", "v", k=5, dims=64, least=0.8).collect()}
+    lost = len(want - found) / len(want)
+    assert len(want) > 800 and lost < 0.045, lost  # three shards for all lose 0.073
