@@ -99,6 +99,31 @@ def test_swaps_keep_degrees_and_reach_all_graphs_alike_in_little_memory():
     assert np.isin(edges, was).mean() < 0.2 and peak < 12 * len(edges) + 40 * S.STEP + 10_000_000
 
 
+def test_edges_of_a_draw_are_gathered_and_swapped_in_little_memory(monkeypatch):
+    monkeypatch.setattr(S, "STEP", 1 << 15)
+    rng = np.random.default_rng(5)
+    a, b = (rng.random((2, 2_000_000)) ** 2 * 500_000).astype(np.int64)
+    keys = (np.minimum(a, b) << 32 | np.maximum(a, b))[a != b]
+    peak = []
+    tracemalloc.start()
+    for step in (lambda: S._gathered(keys[lo : lo + 10_000].copy() for lo in range(0, len(keys), 10_000)), lambda: S.swapped(edges, 1, rng)):
+        base = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        edges = step()
+        peak.append(tracemalloc.get_traced_memory()[1] - base)
+    tracemalloc.stop()
+    assert max(peak) < 11 * len(keys) + 80 * S.STEP
+    assert (S._gathered(iter([keys[:5], keys[:3], keys[5:]])) == np.unique(keys)).all() and len(S._gathered(iter([]))) == 0
+
+
+def test_null_modularity_makes_each_draw_in_a_task_of_its_own_from_small_values(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{(i * k) % 997}") for i in range(997) for k in (2, 3, 5)], "a string, b string")
+    labels = spark.createDataFrame([(f"n{i}", i % 4) for i in range(997)], "id string, label int")
+    got = S.null_modularity(e, labels, 6).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.draw for r in got) == list(range(6)) and len({r.task for r in got}) == 6 and len({r.q for r in got}) > 1
+    assert S.PACKED * 8 * 10_000 < 16_000_000
+
+
 def test_samples_and_random_rankings(spark):
     df = spark.createDataFrame([(i, "x" if i < 50 else "y" if i < 51 else None) for i in range(61)], "id int, s string")
     n = {r.s: r["count"] for r in S.stratified(df, "id", "s", 0.2).groupBy("s").count().collect()}
