@@ -124,6 +124,32 @@ def test_null_modularity_makes_each_draw_in_a_task_of_its_own_from_small_values(
     assert S.PACKED * 8 * 10_000 < 16_000_000
 
 
+def test_null_modularity_makes_the_draws_of_the_reference_and_equal_ones_in_any_task(spark, monkeypatch):
+    from quire.plans import curation_queries as Q
+
+    refs = [(f"n{i}", [f"n{(i * k) % 97}" for k in (2, 3, 5)], i % 4) for i in range(97)]
+    monkeypatch.setattr(Q, "works", lambda *_: spark.createDataFrame(refs, "work string, refs array<string>, cluster int"))
+    got = {r.draw: r.q for r in Q.null_modularity(spark, "").collect()}
+    assert sorted(got) == list(range(1000)) and len(set(got.values())) > 20
+    e = spark.createDataFrame([(o, d) for o, r, _ in refs for d in r], "a string, b string")
+    labels = spark.createDataFrame([(o, k) for o, _, k in refs], "id string, label int")
+    assert {r.draw: r.q for r in S.null_modularity(e, labels, 5).collect()} == {k: got[k] for k in range(5)}
+
+
+def test_swaps_go_on_until_as_many_are_made():
+    star = np.array([0 << 32 | k for k in range(1, 30)] + [1 << 32 | k for k in range(2, 30)])  # most proposals fail
+    made = []
+
+    class Counted(np.random.Generator):
+        def shuffle(self, x):
+            made.append(len(x))
+            super().shuffle(x)
+
+    S.swapped(star.copy(), 20, Counted(np.random.PCG64(1)))
+    S.swapped(star.copy(), 20, Counted(np.random.PCG64(1)), 10 * len(star))
+    assert 2 * 20 < len(made) <= 20 + 10 * 20
+
+
 def test_samples_and_random_rankings(spark):
     df = spark.createDataFrame([(i, "x" if i < 50 else "y" if i < 51 else None) for i in range(61)], "id int, s string")
     n = {r.s: r["count"] for r in S.stratified(df, "id", "s", 0.2).groupBy("s").count().collect()}
