@@ -136,6 +136,15 @@ def test_null_modularity_makes_the_draws_of_the_reference_and_equal_ones_in_any_
     assert {r.draw: r.q for r in S.null_modularity(e, labels, 5).collect()} == {k: got[k] for k in range(5)}
 
 
+def test_modularity_z_makes_the_draws_of_the_reference(spark, monkeypatch):
+    from quire.plans import exchange_queries as Q
+
+    refs = [(f"n{i}", [f"n{j}" for j in range(i // 8 * 8, i // 8 * 8 + 8) if j != i], i // 8) for i in range(64)]
+    monkeypatch.setattr(Q, "works", lambda *_: spark.createDataFrame(refs, "work string, refs array<string>, cluster int"))
+    got = Q.modularity_z(spark, "").first()
+    assert got.n_draws == 1000 and abs(got.observed - 0.875) < 1e-9 and got.z > 20 and abs(got.p - 1 / 1001) < 1e-9 and got.low < got.mean < got.high
+
+
 def test_swaps_go_on_until_as_many_are_made():
     star = np.array([0 << 32 | k for k in range(1, 30)] + [1 << 32 | k for k in range(2, 30)])  # most proposals fail
     made = []
