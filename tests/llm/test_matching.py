@@ -1,8 +1,10 @@
 """Entities of two sources, and labels mapped to a list."""
 
 import random
+import time
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.canonical import NameIndex, apart, distance, map_to_list, words_of
@@ -67,6 +69,37 @@ def test_search_finds_all_above_the_floor(spark, monkeypatch):
         assert all(abs(r.coverage - want[r.query_key, r.doc_key]) < 1e-9 for r in got)
 
 
+def test_pairs_are_scored_in_blocks_and_shuffle_files_go_at_once(spark, monkeypatch):
+    from quire.llm import entity_match as E
+    from quire.session import cut_lean, drop
+
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+
+    def gone(before):  # files are removed in the background
+        for _ in range(100):
+            if not files() - before:
+                return True
+            time.sleep(0.1)
+
+    before, parts = files(), []
+    for k in (0, 1):
+        parts.append(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("x")).count().withColumn("part", F.lit(k)))
+    kept = cut_lean(parts)
+    assert gone(before) and {tuple(r) for r in kept.collect()} == {(x, 143 if x < 6 else 142, k) for x in range(7) for k in (0, 1)}
+    drop(kept)
+    sizes = []
+    monkeypatch.setattr(E, "cut_lean", lambda x: sizes.append(1 if isinstance(x, DataFrame) else len(x := list(x))) or cut_lean(x))
+    docs = with_terms(table(spark, [(f"W{i}", f"alpha beta word{i % 9} rare{i % 40}", [f"A. Name{i % 5}"], 2000, None) for i in range(120)])).cache()
+    asked = with_terms(table(spark, [(str(i), f"alpha beta word{i % 9} rare{i % 40}", None, 2000, None) for i in range(50)])).cache()
+    found = {}
+    for block in (6, 0.02):
+        monkeypatch.setattr(E, "BLOCK", block)
+        rows = [tuple(r) for r in scored_pairs(docs, asked).collect()]
+        found[block] = set(rows)
+        assert len(rows) == len(found[block]) >= 50
+    assert found[6] == found[0.02] and sizes[-1] > 5 and sizes.count(1) == len(sizes) - 1
+
+
 def test_names_and_text():
     assert [family_name(x) for x in ("Karvar, J.", "J. Karvar", "Jol Karvar", "Karvar J", "et al.", "", None)] == ["karvar"] * 4 + [None] * 3
     assert plain("Töwards <i>A &amp; B</i>").split() == ["towards", "a", "and", "b"]
